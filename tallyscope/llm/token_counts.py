@@ -50,9 +50,9 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - SCALE * UNKNOWN_PENALTY
         self.bytes_for_unknown = bytes_for_unknown
-        # a space mark begins a segment if no piece holds one after another character
-        self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
         self.single = frozenset(p for p, _ in pieces if len(p) == 1)
+        # a space mark begins a segment if no piece holds one after another character, and no run of unknowns goes through it
+        self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces) and (bytes_for_unknown or SPACE in self.single)
         self.limit, self.known = limit, {}
 
     def viterbi(self, text: str) -> int:

@@ -23,7 +23,7 @@ SMALL = 4
 #: Cells for each digest at the first try; one third more than must do for large sets.
 SPREAD = 1.6
 PEELS = 6
-PER_RANGE = 65_536
+PER_RANGE = 16_384
 LEAST_RANGES = 64
 
 
@@ -117,6 +117,15 @@ def differing(pairs: DataFrame, rounds: int = 40, tries: int = 8) -> DataFrame:
     return out
 
 
+def cuts_below(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``x``, by halving steps over one constant array."""
+    if not cuts:
+        return F.lit(0)
+    held = F.array(*map(F.lit, cuts))
+    steps = F.array(*[F.lit(2**k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(held, n + s - 1) <= x, n + s).otherwise(n))
+
+
 def with_next_text(docs: DataFrame) -> DataFrame:
     """``docs`` (id, text) with the next text in descending order of id and then text; the first follows the last.
 
@@ -127,7 +136,7 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     spark, total = docs.sparkSession, docs.count()
     n = max(LEAST_RANGES, -(-total // PER_RANGE))
     cuts = sorted(set(docs.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 50 * n)).first()[0] or []))
-    place = F.when(F.col("id").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0))
+    place = F.when(F.col("id").isNull(), -1).otherwise(cuts_below(F.col("id"), cuts))
     placed = docs.select("id", "text", place.cast("long").alias("part"), F.lit(0).alias("guard"))
     firsts = sorted(placed.groupBy("part").agg(F.max("id").alias("id")).collect(), key=lambda r: -r.part)
     # by range: the largest id of the range below; the highest range follows the lowest

@@ -172,10 +172,9 @@ def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col:
                 at = np.flatnonzero(out)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(out[at])], ["lang", "piece", "n"])
 
-        rows = words.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+        rows = words.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros_like(probs)
-        for r in rows:
-            counts[r.piece, place[r.lang]] = r.n
+        counts[rows.column("piece").to_numpy(), [place[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
         counts[1:] += 0.01
         counts[-1] = np.maximum(counts[-1], 0.1)
         probs = counts / counts.sum(0)

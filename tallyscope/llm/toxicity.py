@@ -196,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["y", "gram", "n"])
 
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for r in texts.where("NOT scale").select("text", "y").mapInArrow(count, "y int, gram string, n long").groupBy("y", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[1 - r.y][r.gram] = r.n
+    found = texts.where("NOT scale").select("text", "y").mapInArrow(count, "y int, gram string, n long").groupBy("y", "gram").agg(F.sum("n").alias("n")).toArrow()
+    for y, gram, n in zip(*(found.column(k).to_pylist() for k in ("y", "gram", "n"))):
+        counts[1 - y][gram] = n
     if not all(counts):
         return None
     shared = docs.sparkSession.sparkContext.broadcast(counts)

@@ -256,7 +256,12 @@ def near_duplicate_groups(docs: DataFrame, limit: int = 3, id_col: str = "doc_id
     ids in reach are null.
     """
     distinct = staged(docs.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("low")), "simhash")
-    roots = components(near_links(distinct, limit))
+    return grouped(distinct, near_links(distinct, limit))
+
+
+def grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for each row of ``distinct`` (fp, and low: its smallest id), joined by ``links`` (a, b)."""
+    roots = components(links)
     noted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = noted.groupBy("root").agg(F.min("low").alias("component_id"))
     return noted.join(lows, "root").select("fp", "root", "component_id")
@@ -282,6 +287,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     (mark,) = fresh(docs, "simhash_fp")
     marked = staged(python_ready(docs).withColumn(mark, fingerprint_udf(shingle)(F.col(text_col))), "simhash-docs")
     groups = near_duplicate_groups(marked.select(F.col(id_col).alias("id"), F.col(mark).alias("fp")), limit, "id", "fp")
+    return keep_first(marked, groups, mark, id_col)
+
+
+def keep_first(marked: DataFrame, groups: DataFrame, mark: str, id_col: str) -> DataFrame:
+    """Rows of ``marked``, without column ``mark``, that stand for their group of fingerprints."""
     held = marked.select(F.col(id_col).alias("keep_id"), F.col(mark).alias("fp")).join(groups, "fp")
     # the smallest fingerprint among those of the smallest id stands for the group
     keep = held.where(F.col("keep_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("keep_fp"), F.first("component_id").alias("keep_id"))

@@ -205,8 +205,6 @@ class Scorer:
         self.logs = np.zeros((1024, self.probs.shape[1]), np.float32)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.place) + len(words) > self.limit:
-            self.clear()
         for group in by_length(words):
             found = self.lattice.forward(self.lattice.ids(group), len(group[0]), self.probs)[-1]
             at = len(self.place)
@@ -216,16 +214,31 @@ class Scorer:
             self.place.update((w, at + k) for k, w in enumerate(group))
 
     def score(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Log-likelihoods by language; None for a text without letters."""
+        """Log-likelihoods by language; None for a text without letters.
+
+        Words past the cache's limit are learnt in parts that fit it, each after a
+        clear, and a text's sum is that of its parts.
+        """
         cut = [letter_words(t) for t in texts]
         new = {w for words in cut for w in words if w not in self.place}
-        if new:
-            held = len(self.place)
+        if len(self.place) + len(new) > self.limit:
+            self.clear()
+            new = {w for words in cut for w in words}
+        if len(new) <= self.limit:
             self.learn(new)
-            if len(self.place) < held + len(new):  # it was cleared
-                self.learn({w for words in cut for w in words if w not in self.place})
-        place = self.place
-        return [self.logs[[place[w] for w in words]].sum(0, dtype=np.float64) if words else None for words in cut]
+            return [self.total(words) if words else None for words in cut]
+        sums = [np.zeros(self.probs.shape[1]) if words else None for words in cut]
+        parts = sorted(new)  # so that a sum doesn't depend on the order of a set
+        for a in range(0, len(parts), self.limit):
+            self.clear()
+            self.learn(set(parts[a : a + self.limit]))
+            for k, words in enumerate(cut):
+                if words:
+                    sums[k] += self.total([w for w in words if w in self.place])
+        return sums
+
+    def total(self, words: list[str]) -> np.ndarray:
+        return self.logs[[self.place[w] for w in words]].sum(0, dtype=np.float64) if words else np.zeros(self.probs.shape[1])
 
 
 _scorers: dict[str, Scorer] = {}

@@ -4,10 +4,10 @@ Two models over the letters of words, one of toxic and one of ordinary
 documents, differ in their high orders only; both back off to one shared
 Kneser-Ney model, whose counts pool both classes. A rare expression that
 neither class knows thus gets the same likelihood from both, and only
-what a class has seen moves the ratio. A word's evidence is its log-likelihood
-ratio; a document is compared by its length-normalised ratio and by its
-strongest words, on a logistic scale fitted on labelled documents that the models
-did not see.
+what a class has seen moves the ratio. Toxic and ordinary log-likelihoods are compared
+per letter, over the whole document and over its most toxic expression (a few words
+in a row, so that length doesn't dilute it), on a logistic scale fitted on
+labelled documents that the models did not see.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import fold_of, fresh, python_ready, staged
+from .held import held
 
 FOLDS, HELD_OUT = 3, 1
 #: About as many labelled documents of each class are fitted, a quarter of them for the scale.
@@ -34,106 +35,139 @@ DISCOUNT = 0.75
 #: Likelihood of a letter that no count covers.
 FLOOR = 1e-4
 THRESHOLD = 0.7
+#: Words of an expression.
+EXPRESSION = 2
+#: Longest words that are cached, and grams or words held before they are sent on.
+SHORT, MANY = 40, 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
-BLOCK = 48
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; long ones in blocks."""
-    found = _LETTERS.findall((text or "").lower())
-    if max(map(len, found), default=0) > BLOCK:
-        found = [w[k : k + BLOCK] for w in found for k in range(0, len(w), BLOCK)]
-    return found
+    """Lower-cased runs of letters."""
+    return _LETTERS.findall((text or "").lower())
 
 
-def grams(word: str) -> list[str]:
+def grams(word: str) -> Iterator[str]:
     """The ORDER-grams of a word between its marks, one for each letter and the end."""
     s = "^" * (ORDER - 1) + word + "$"
-    return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
+    return (s[i : i + ORDER] for i in range(len(s) - ORDER + 1))
+
+
+def continuations(counts) -> Counter:
+    """For each gram of one order below: before how many different letters of ``counts`` it is found."""
+    return Counter(g[1:] for g in counts)
 
 
 class Backoff:
-    """Interpolated absolute discounting over counts of n-grams of one order, by context."""
+    """Interpolated absolute discounting over counts of grams of one order, in the form that backs off.
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts, self.total, self.types = counts, Counter(), Counter()
-        for g, k in counts.items():
-            self.total[g[:-1]] += k
-            self.types[g[:-1]] += 1
+    ``logs``: log-probabilities of the grams counted. ``weights``: by context, the log of what an uncounted
+    gram's shorter one is multiplied with; a context that isn't there passes it on as it is.
+    """
 
-    def prob(self, gram: str, lower) -> float:
-        total = self.total.get(gram[:-1])
-        if not total:
-            return lower(gram[1:])
-        seen = self.counts.get(gram, 0)
-        return (max(seen - DISCOUNT, 0.0) + DISCOUNT * self.types[gram[:-1]] * lower(gram[1:])) / total
+    def __init__(self, counts: dict[str, int], lower):
+        total: Counter = Counter()
+        types: Counter = Counter()
+        for g, k in counts.items():
+            total[g[:-1]] += k
+            types[g[:-1]] += 1
+        self.weights = {c: math.log(DISCOUNT * types[c] / total[c]) for c in total}
+        self.logs = {g: math.log(max(k - DISCOUNT, 0.0) / total[g[:-1]] + math.exp(self.weights[g[:-1]] + lower(g[1:]))) for g, k in counts.items()}
 
 
 class Ratio:
     """log P(letter | context, toxic) - log P(letter | context, ordinary), for ORDER-grams.
 
-    ``counts``: for each class a map of ORDER-grams to counts. Lower orders of a
-    class are sums over it; the shared model of ``SHARED`` letters and fewer counts
-    in how many different contexts a gram occurs.
+    A class's counts of ORDER-grams are its own; each order below counts in how many
+    different contexts of the class a gram stands, and the shared model of ``SHARED`` letters
+    and fewer does so over both classes.
     """
 
     def __init__(self, toxic: dict[str, int], ordinary: dict[str, int]):
-        self.own: list[dict[int, Backoff]] = []
-        following: dict[str, set[str]] = {}
+        orders: list[list[dict[str, int]]] = []
         for counts in (toxic, ordinary):
-            orders = {ORDER: Backoff(counts)}
-            for n in range(ORDER - 1, SHARED, -1):
-                lower: Counter = Counter()
-                for g, k in counts.items():
-                    lower[g[-n:]] += k
-                orders[n] = Backoff(lower)
-            self.own.append(orders)
-        pooled = set(self.own[0][SHARED + 1].counts) | set(self.own[1][SHARED + 1].counts)
-        self.shared: dict[int, Backoff] = {}
-        for n in range(SHARED, 0, -1):
-            seen: Counter = Counter()
-            for g in pooled:
-                seen[g[1:]] += 1
-            self.shared[n] = Backoff(seen)
-            pooled = set(seen)
+            orders.append([counts])
+            while len(orders[-1]) < ORDER - SHARED:
+                orders[-1].append(continuations(orders[-1][-1]))
+        pooled: dict[str, int] = orders[0][-1] | orders[1][-1]
+        below = []
+        for _ in range(SHARED):
+            pooled = continuations(pooled)
+            below.append(pooled)
+        self.shared: list[Backoff] = [Backoff({}, None)]
+        for counts in reversed(below):
+            self.shared.append(Backoff(counts, self.of_shared))
+        self.logs: tuple[dict[str, float], ...] = ({}, {})
+        self.weights: tuple[dict[str, float], ...] = ({}, {})
+        for k in (0, 1):
+            for counts in reversed(orders[k]):
+                one = Backoff(counts, lambda g: self.of_class(k, g))
+                self.logs[k].update(one.logs)
+                self.weights[k].update(one.weights)
         self.known: dict[str, float] = {}
 
     def of_shared(self, gram: str) -> float:
-        return self.shared[len(gram)].prob(gram, self.of_shared) if gram else FLOOR
+        passed = 0.0
+        while gram:
+            one = self.shared[len(gram)]
+            if gram in one.logs:
+                return passed + one.logs[gram]
+            passed += one.weights.get(gram[:-1], 0.0)
+            gram = gram[1:]
+        return passed + math.log(FLOOR)
+
+    def backed(self, k: int, gram: str) -> tuple[float, str]:
+        """(log-probability so far, what is left to the shared model) of a gram in class ``k``."""
+        logs, weights, passed = self.logs[k], self.weights[k], 0.0
+        while len(gram) > SHARED:
+            if gram in logs:
+                return passed + logs[gram], ""
+            passed += weights.get(gram[:-1], 0.0)
+            gram = gram[1:]
+        return passed, gram
 
     def of_class(self, k: int, gram: str) -> float:
-        if len(gram) <= SHARED:
-            return self.of_shared(gram)
-        return self.own[k][len(gram)].prob(gram, lambda g: self.of_class(k, g))
+        passed, rest = self.backed(k, gram)
+        return passed + self.of_shared(rest) if rest else passed
 
     def gram(self, g: str) -> float:
-        if g not in self.known:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[g] = math.log(self.of_class(0, g) / self.of_class(1, g))
-        return self.known[g]
+        if g in self.known:
+            return self.known[g]
+        if len(self.known) >= 2 * MANY:
+            self.known.clear()
+        (a, rest_a), (b, rest_b) = self.backed(0, g), self.backed(1, g)
+        if not (rest_a and rest_b):  # what both leave to the shared model is the same
+            a, b = a + (self.of_shared(rest_a) if rest_a else 0.0), b + (self.of_shared(rest_b) if rest_b else 0.0)
+        self.known[g] = found = a - b
+        return found
 
 
 class Scorer:
-    def __init__(self, toxic: dict[str, int], ordinary: dict[str, int], limit: int = 300_000):
+    def __init__(self, toxic: dict[str, int], ordinary: dict[str, int], limit: int = 2 * MANY):
         self.ratio, self.limit, self.words = Ratio(toxic, ordinary), limit, {}
 
     def word(self, w: str) -> float:
-        if w not in self.words:
+        if w in self.words:
+            return self.words[w]
+        found = sum(map(self.ratio.gram, grams(w)))
+        if len(w) <= SHORT:
             if len(self.words) >= self.limit:
                 self.words.clear()
-            self.words[w] = sum(map(self.ratio.gram, grams(w)))
-        return self.words[w]
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Mean ratio of the words, the strongest word's and the second's; zeros without words."""
-        known = self.words
-        values = [known[w] if w in known else self.word(w) for w in letter_words(text)]
-        if not values:
-            return 0.0, 0.0, 0.0
-        found = np.array(values)
-        top = np.partition(found, -2)[-2:] if len(found) > 1 else np.array([0.0, found[0]])
-        return float(found.mean()), float(top[1]), float(top[0])
+            self.words[w] = found
+        return found
+
+    def features(self, text: str | None) -> tuple[float, float]:
+        """Ratio per letter (and word's end) of the text and of its strongest expression; zeros without words."""
+        words, known = letter_words(text), self.words
+        if not words:
+            return 0.0, 0.0
+        ratios = np.array([known[w] if w in known else self.word(w) for w in words])
+        sizes = np.array([len(w) + 1 for w in words])
+        whole = ratios.sum() / sizes.sum()
+        if len(words) <= EXPRESSION:
+            return float(whole), float(whole)
+        window = np.ones(EXPRESSION)
+        return float(whole), float((np.convolve(ratios, window, "valid") / np.convolve(sizes, window, "valid")).max())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, pull: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -148,28 +182,18 @@ def logistic(x: np.ndarray, y: np.ndarray, pull: float = 1e-3, rounds: int = 50)
     return w
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer(name: str, shared) -> Scorer:
-    """The worker's scorer of this model, kept between tasks; one at a time."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(*shared.value)
-    return _scorers[name]
-
-
-#: The scale of mean, first and second ratio before the logistic.
-SCALE = np.array([1.0, 0.1, 0.1])
+#: The scale of the text's and the expression's ratio before the logistic.
+SCALE = np.array([10.0, 1.0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS):
     """(toxic counts, ordinary counts, weights), from about ``per_class`` documents of each class; None if a class is missing.
 
-    The ids come from the labels by a hash against the class's count; the texts
-    are joined, cut and counted on the executors. The driver gets counts
-    of letter n-grams, which the alphabet bounds, and three features of each document of the
-    scale's quarter.
+    The ids come from the labels by a hash against the class's count, so there are about
+    2 * ``per_class`` of them, and they are broadcast: no text is shuffled. A word counts once
+    for each document that has it, so that one document's favourites don't pass for its class's. The
+    driver gets counts of letter n-grams of the documents chosen, and two features of each
+    document of the scale's quarter.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold_of(F.col("id"), FOLDS) != HELD_OUT))
     rows = rows.groupBy("id").agg(F.max("y").alias("y"))
@@ -180,20 +204,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chance = F.when(F.col("y") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
     scale = F.pmod(F.xxhash64(F.lit("scale"), F.col("id")), F.lit(4)) == 0
     chosen = rows.where(draw < chance).withColumn("scale", scale)
-    texts = staged(python_ready(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "y", "scale"), "toxic-texts")
+    texts = staged(python_ready(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y", "scale"), "toxic-texts")
+
+    def as_batch(y: int, found: Counter):
+        return pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["y", "gram", "n"])
 
     def count(batches):
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                seen[y].update(letter_words(text.as_py()))
-        for y, words in seen.items():
-            found: Counter = Counter()
-            for w, n in words.items():
-                for g in grams(w):
-                    found[g] += n
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["y", "gram", "n"])
+                own = found[y]
+                for w in set(letter_words(text.as_py())):
+                    for g in grams(w):
+                        own[g] += 1
+                        if len(own) >= MANY:
+                            yield as_batch(y, own)
+                            own.clear()
+        for y, own in found.items():
+            if own:
+                yield as_batch(y, own)
 
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
     found = texts.where("NOT scale").select("text", "y").mapInArrow(count, "y int, gram string, n long").groupBy("y", "gram").agg(F.sum("n").alias("n")).toArrow()
@@ -207,13 +236,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         own = None
         for batch in batches:
             own = own or Scorer(*shared.value)
-            found = np.array([own.features(t.as_py()) for t in batch.column(0)]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(3)), batch.column(1)], ["a", "b", "c", "y"])
+            found = np.array([own.features(t.as_py()) for t in batch.column(0)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(2)), batch.column(1)], ["a", "b", "y"])
 
-    table = texts.where("scale").select("text", "y").mapInArrow(measure, "a double, b double, c double, y int").toPandas()
+    table = texts.where("scale").select("text", "y").mapInArrow(measure, "a double, b double, y int").toPandas()
     if table.y.nunique() < 2:
         return None
-    weights = logistic(table[["a", "b", "c"]].to_numpy() * SCALE, table.y.to_numpy())
+    weights = logistic(table[["a", "b"]].to_numpy() * SCALE, table.y.to_numpy())
     return shared, weights
 
 
@@ -224,12 +253,12 @@ def score_udf(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     name = uuid4().hex
 
     def run(batches):
-        own = scorer(name, shared) if shared is not None else None
+        own = held(name, lambda: Scorer(*shared.value)) if shared is not None else None
         for column in batches:
             if own is None:
                 yield pa.array(np.zeros(len(column)))
                 continue
-            found = np.array([own.features(t.as_py()) for t in column]).reshape(-1, 3) * SCALE
+            found = np.array([own.features(t.as_py()) for t in column]).reshape(-1, 2) * SCALE
             yield pa.array(1 / (1 + np.exp(-np.clip(found @ weights[:-1] + weights[-1], -30, 30))))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -251,7 +280,12 @@ def score_documents(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame
 
 
 def keep_civil(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs``, all columns, with a score below ``threshold``."""
+    """Rows of ``docs``, all columns, with a score below ``threshold``; a map without shuffle.
+
+    Scores are those of ``score_documents``: null texts and texts without letters have the score of
+    no evidence, and if nothing can be learnt every row stays. Equal rows go or stay
+    together. No rows: no rows. Columns of any name stay as they are.
+    """
     (mark,) = fresh(docs, "toxic_score")
     score = score_udf(labelled_docs, labels, id_col, text_col, label_col)
     return python_ready(docs).withColumn(mark, score(F.col(text_col))).where(F.col(mark) < threshold).drop(mark)

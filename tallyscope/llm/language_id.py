@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import fold_of, fresh, python_ready, staged
+from .held import held
 from .token_counts import SPACE
 
 UNDETERMINED = "und"
@@ -28,23 +29,18 @@ FOLDS = 5
 #: About as many labelled documents of each language are fitted.
 PER_LANGUAGE = 2000
 ROUNDS = 3
-#: Runs of letters are scored in blocks of this many.
-BLOCK = 40
-LONGEST_PIECE = 12
+#: Longest words, mark included, that are fitted, and that are scored many at a time and cached.
+SHORT = 48
+#: Letters of the words that are scored at once.
+AT_ONCE = 200_000
+#: Least probability of a character that no piece of one character covers.
+LEAST = 1e-12
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, marked at their start; long ones in blocks."""
-    found = _LETTERS.findall((text or "").lower())
-    out = []
-    for w in found:
-        if len(w) < BLOCK:
-            out.append(SPACE + w)
-        else:
-            w = SPACE + w
-            out += [w[k : k + BLOCK] for k in range(0, len(w), BLOCK)]
-    return out
+    """Lower-cased runs of letters, marked at their start."""
+    return [SPACE + w for w in _LETTERS.findall((text or "").lower())]
 
 
 def letter_pieces(model_path: str) -> list[str]:
@@ -53,14 +49,22 @@ def letter_pieces(model_path: str) -> list[str]:
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_path)
     found = {m.id_to_piece(i).lower() for i in range(m.get_piece_size()) if not m.is_byte(i)}
-    return sorted(p for p in found if re.fullmatch(f"{SPACE}?([^\\W\\d_]*)", p) and 0 < len(p) <= LONGEST_PIECE)
+    return sorted(p for p in found if p and re.fullmatch(f"{SPACE}?([^\\W\\d_]*)", p))
+
+
+def logarithms(probs: np.ndarray) -> np.ndarray:
+    """Of a matrix of probabilities; none for row 0, which stands for no piece."""
+    out = np.full(probs.shape, -np.inf)
+    out[1:] = np.log(np.maximum(probs[1:], 1e-300))
+    return out
 
 
 class Lattice:
     """Cuts of words into pieces, for many words of one length at a time.
 
-    Row 0 of a probability matrix stands for no piece, the last for a character
-    that no piece of one character covers.
+    Row 0 of a matrix of log-probabilities stands for no piece, the last for a character
+    that no piece of one character covers. All sums are of logarithms, so a word of
+    any length has a finite one.
     """
 
     def __init__(self, pieces: list[str]):
@@ -70,15 +74,16 @@ class Lattice:
         for k, p in enumerate(pieces, 1):
             self.matches.add_word(p, (len(p), k))
         self.matches.make_automaton()
-        self.rows = len(pieces) + 2
+        self.rows, self.longest = len(pieces) + 2, max(map(len, pieces), default=1)
         self.cuts: dict[int, list[tuple[int, int]]] = {}
 
     def of(self, n: int) -> list[tuple[int, int]]:
         if n not in self.cuts:
-            self.cuts[n] = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST_PIECE), j)]
+            self.cuts[n] = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
         return self.cuts[n]
 
     def ids(self, words: list[str]) -> np.ndarray:
+        """(cuts, words): the row of the piece that each cut of each word is."""
         cuts = self.of(len(words[0]))
         blank = np.array([0 if j - i > 1 else self.rows - 1 for i, j in cuts], np.int32)
         # where, among the cuts, the one of size 0 that ends there would stand
@@ -90,45 +95,67 @@ class Lattice:
                 ids.append(k)
         out = np.tile(blank, len(words))
         out[at] = ids
-        return out.reshape(len(words), -1)
-
-    def forward(self, ids: np.ndarray, n: int, probs: np.ndarray) -> np.ndarray:
-        """(n + 1, words, languages): probability of each beginning, by all its cuts."""
-        alpha = np.zeros((n + 1, len(ids), probs.shape[1]))
-        alpha[0] = 1
-        for k, (i, j) in enumerate(self.of(n)):
-            alpha[j] += alpha[i] * probs[ids[:, k]]
+        return np.ascontiguousarray(out.reshape(len(words), -1).T)
+
+    def forward(self, ids: np.ndarray, n: int, logs: np.ndarray) -> np.ndarray:
+        """(n + 1, words, languages): log-probability of each beginning, by all its cuts."""
+        alpha = np.full((n + 1, ids.shape[1], logs.shape[1]), -np.inf)
+        alpha[0] = 0
+        for (i, j), k in zip(self.of(n), ids):
+            if k.any():
+                np.logaddexp(alpha[j], alpha[i] + logs[k], alpha[j])
         return alpha
 
-    def expected(self, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Expected number of each row of ``probs`` (one language) in words that occur ``counts`` times."""
+    def expected(self, words: list[str], counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Expected number of each row of ``logs`` (one language) in words that occur ``counts`` times."""
         n, ids, out = len(words[0]), self.ids(words), np.zeros(self.rows)
-        alpha = self.forward(ids, n, probs)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[n] = counts / alpha[n]
-        for k in range(len(self.of(n)) - 1, -1, -1):
-            i, j = self.of(n)[k]
-            p = probs[ids[:, k], 0]
-            out += np.bincount(ids[:, k], alpha[i] * p * beta[j], self.rows)
-            beta[i] += p * beta[j]
+        alpha = self.forward(ids, n, logs)[:, :, 0]
+        beta = np.full_like(alpha, -np.inf)
+        beta[n] = np.log(counts) - alpha[n]
+        for (i, j), k in zip(reversed(self.of(n)), ids[::-1]):
+            if k.any():
+                ahead = logs[k, 0] + beta[j]
+                out += np.bincount(k, np.exp(alpha[i] + ahead), self.rows)
+                np.logaddexp(beta[i], ahead, beta[i])
         return out
 
+    def long(self, word: str, logs: np.ndarray) -> np.ndarray:
+        """The same sum for one word of any length; only as many beginnings as the longest piece are held."""
+        held = [np.zeros(logs.shape[1])]
+        found = self.matches.iter(word)
+        end, piece = next(found, (-1, None))
+        for at in range(len(word)):
+            ways, single = [], False
+            while end == at:
+                size, k = piece
+                single |= size == 1
+                ways.append(held[-size] + logs[k])
+                end, piece = next(found, (-1, None))
+            if not single:
+                ways.append(held[-1] + logs[-1])
+            held.append(np.logaddexp.reduce(ways))
+            if len(held) > self.longest:
+                del held[0]
+        return held[-1]
+
 
 def by_length(words) -> Iterator[list[str]]:
     sizes: dict[int, list[str]] = {}
     for w in words:
         sizes.setdefault(len(w), []).append(w)
-    for found in sizes.values():
-        for a in range(0, len(found), 4096):
-            yield found[a : a + 4096]
+    for n, found in sizes.items():
+        step = max(1, min(4096, AT_ONCE // n))
+        for a in range(0, len(found), step):
+            yield found[a : a + step]
 
 
 def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> tuple[list[str], list[str], np.ndarray]:
     """(languages, pieces, probabilities) from about ``per_language`` documents of each language.
 
-    Documents are chosen by a hash of their id against the language's count. Words
-    are counted on the executors; each round sends the probabilities out and brings
-    one number per language and piece back, whatever the number of documents.
+    Documents are chosen by a hash of their id against the language's count. Words of fewer than
+    ``SHORT`` letters are counted on the executors; each round sends the probabilities out and
+    brings one number per language and piece back, whatever the number of documents. Every
+    character has some probability in every language, so all of them are finite logarithms.
     """
     pieces = letter_pieces(model_path)
     n_rows = len(pieces) + 2
@@ -145,7 +172,7 @@ def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col:
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen.update((lang, w) for w in letter_words(text.as_py()))
+                seen.update((lang, w) for w in letter_words(text.as_py()) if len(w) <= SHORT)
             if seen:
                 (lang, word), n = zip(*seen), list(seen.values())
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(n, pa.int64())], ["lang", "word", "n"])
@@ -156,7 +183,7 @@ def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col:
     start = np.array([0.0, *[10.0 ** -(5 - min(len(p), 4) * 0.5) for p in pieces], 1e-9])
     probs = np.repeat((start / start.sum())[:, None], len(langs), 1)
     for _ in range(rounds):
-        shared = words.sparkSession.sparkContext.broadcast(probs)
+        shared = words.sparkSession.sparkContext.broadcast(logarithms(probs))
 
         def expect(batches):
             lattice, total = Lattice(pieces), {}
@@ -177,7 +204,8 @@ def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col:
         counts[rows.column("piece").to_numpy(), [place[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
         counts[1:] += 0.01
         counts[-1] = np.maximum(counts[-1], 0.1)
-        probs = counts / counts.sum(0)
+        probs = np.maximum(counts / counts.sum(0), LEAST)
+    assert np.isfinite(probs).all()
     return langs, pieces, probs
 
 
@@ -196,60 +224,51 @@ def groups(column: pa.Array, rows: int = 512, chars: int = 4_000_000) -> Iterato
 
 
 class Scorer:
-    def __init__(self, pieces: list[str], probs: np.ndarray, limit: int = 300_000):
-        self.lattice, self.probs, self.limit = Lattice(pieces), probs, limit
+    def __init__(self, pieces: list[str], probs: np.ndarray, limit: int = 250_000):
+        self.lattice, self.logs_of, self.limit = Lattice(pieces), logarithms(probs), limit
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.logs = np.zeros((1024, self.probs.shape[1]), np.float32)
+        self.logs = np.zeros((1024, self.logs_of.shape[1]), np.float32)
 
     def learn(self, words: set[str]) -> None:
         for group in by_length(words):
-            found = self.lattice.forward(self.lattice.ids(group), len(group[0]), self.probs)[-1]
+            found = self.lattice.forward(self.lattice.ids(group), len(group[0]), self.logs_of)[-1]
             at = len(self.place)
             while len(self.logs) < at + len(group):
                 self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[at : at + len(group)] = np.log(found)
+            self.logs[at : at + len(group)] = found
             self.place.update((w, at + k) for k, w in enumerate(group))
 
     def score(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log-likelihoods by language; None for a text without letters.
 
         Words past the cache's limit are learnt in parts that fit it, each after a
-        clear, and a text's sum is that of its parts.
+        clear, and a text's sum is that of its parts. Long words are scored one by one.
         """
         cut = [letter_words(t) for t in texts]
+        sums: list[np.ndarray | None] = [np.zeros(self.logs_of.shape[1]) if words else None for words in cut]
+        for k, words in enumerate(cut):
+            for w in (w for w in words if len(w) > SHORT):
+                sums[k] += self.lattice.long(w, self.logs_of)
+            cut[k] = [w for w in words if len(w) <= SHORT]
         new = {w for words in cut for w in words if w not in self.place}
         if len(self.place) + len(new) > self.limit:
             self.clear()
             new = {w for words in cut for w in words}
-        if len(new) <= self.limit:
-            self.learn(new)
-            return [self.total(words) if words else None for words in cut]
-        sums = [np.zeros(self.probs.shape[1]) if words else None for words in cut]
-        parts = sorted(new)  # so that a sum doesn't depend on the order of a set
-        for a in range(0, len(parts), self.limit):
-            self.clear()
+        parts = sorted(new) if len(new) > self.limit else list(new)  # so that a sum doesn't depend on the order of a set
+        for a in range(0, max(1, len(parts)), self.limit):
+            if a:
+                self.clear()
             self.learn(set(parts[a : a + self.limit]))
             for k, words in enumerate(cut):
                 if words:
-                    sums[k] += self.total([w for w in words if w in self.place])
+                    sums[k] += self.total(words if len(parts) <= self.limit else [w for w in words if w in self.place])
         return sums
 
     def total(self, words: list[str]) -> np.ndarray:
-        return self.logs[[self.place[w] for w in words]].sum(0, dtype=np.float64) if words else np.zeros(self.probs.shape[1])
-
-
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer(name: str, shared) -> Scorer:
-    """The worker's scorer of this model, kept between tasks; one at a time."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(*shared.value[1:])
-    return _scorers[name]
+        return self.logs[[self.place[w] for w in words]].sum(0, dtype=np.float64) if words else np.zeros(self.logs_of.shape[1])
 
 
 def predict_udf(spark, langs: list[str], pieces: list[str], probs: np.ndarray):
@@ -257,7 +276,7 @@ def predict_udf(spark, langs: list[str], pieces: list[str], probs: np.ndarray):
     shared, name = spark.sparkContext.broadcast((langs, pieces, probs)), uuid4().hex
 
     def run(batches):
-        own = scorer(name, shared)
+        own = held(name, lambda: Scorer(*shared.value[1:]))
         for column in batches:
             names, scores = [], []
             for texts in groups(column):
@@ -295,7 +314,11 @@ def identify(docs: DataFrame, labelled: DataFrame, model_path: str, id_col: str
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
+    """Rows of ``docs``, all columns, whose language is known with a score of at least ``least``; a map without shuffle.
+
+    Languages and scores are those of ``identify``, so null texts and texts without a letter go, and
+    if nothing can be learnt every row goes. Equal rows go or stay together. No rows: no rows.
+    """
     (mark,) = fresh(docs, "language")
     marked = docs.withColumn(mark, fitted_udf(labelled, model_path, id_col, text_col, lang_col)(F.col(text_col)))
     return marked.where((F.col(mark)["lang_pred"] != UNDETERMINED) & (F.col(mark)["score"] >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

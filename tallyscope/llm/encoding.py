@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+from .held import held
+
 #: A place between tokens whatever the pre-tokenizer does with runs of white space: before one space between two other characters.
 _EDGE = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than space and line feed.
@@ -36,6 +38,10 @@ _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = ".,;:!?|"
 
 
+#: Longer keys are not kept, so that a cache's entries bound its bytes.
+SHORT = 64
+
+
 class _Parts(dict):
     """Ids of keys, made by ``make`` when missed; of two generations, the older goes when the younger is full."""
 
@@ -44,6 +50,8 @@ class _Parts(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > SHORT:
+            return self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -59,7 +67,7 @@ class ChunkEncoder:
     pre-tokenizer has for them; any other chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, drops_spaces: bool, limit: int = 400_000):
+    def __init__(self, path: str, drops_spaces: bool, limit: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -85,14 +93,9 @@ class ChunkEncoder:
         return [b"".join(map(find, self.chunks(x or ""))) for x in texts]
 
 
-_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
-
-
 def encoder(path: str, drops_spaces: bool) -> ChunkEncoder:
     """One for each Python worker, kept between its tasks."""
-    if (path, drops_spaces) not in _encoders:
-        _encoders[path, drops_spaces] = ChunkEncoder(path, drops_spaces)
-    return _encoders[path, drops_spaces]
+    return held(("encoder", path, drops_spaces), lambda: ChunkEncoder(path, drops_spaces))
 
 
 def slices(batch, text: int, rows: int = 64, chars: int = 1_000_000):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import python_ready
+from .held import held
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -41,7 +42,7 @@ def vocabulary(model_path: str) -> tuple[list[tuple[str, float]], bool]:
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]], bytes_for_unknown: bool, limit: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float]], bytes_for_unknown: bool, limit: int = 200_000):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -111,13 +112,9 @@ class Counter:
         return sum([known[s] if s in known else self.fill(s) for s in self.segments(text)])
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(model_path: str) -> Counter:
-    if model_path not in _counters:
-        _counters[model_path] = Counter(*vocabulary(model_path))
-    return _counters[model_path]
+    """One for each Python worker, kept between its tasks."""
+    return held(("counter", model_path), lambda: Counter(*vocabulary(model_path)))
 
 
 def count_udf(model_path: str):

@@ -111,20 +111,36 @@ def test_language_forward_sums_all_segmentations():
     pieces = ["a", "b", "ab", "▁", "▁a", "ba"]
     lattice = language_id.Lattice(pieces)
     probs = np.array([[0.0], [0.1], [0.2], [0.05], [0.3], [0.15], [0.08], [1e-6]])
-    p = dict(zip(pieces, probs[1:-1, 0]))
+    p, logs = dict(zip(pieces, probs[1:-1, 0])), language_id.logarithms(probs)
 
     def total(word):
         return 1.0 if not word else sum((p.get(word[:k], 1e-6 if k == 1 else 0.0)) * total(word[k:]) for k in range(1, len(word) + 1))
 
     for word in ("▁abba", "▁baab", "▁abxa"):
-        assert np.isclose(lattice.forward(lattice.ids([word]), len(word), probs)[-1, 0, 0], total(word))
-    counts = lattice.expected(["▁ab"], np.array([2.0]), probs)
+        for got in (lattice.forward(lattice.ids([word]), len(word), logs)[-1, 0, 0], lattice.long(word, logs)[0]):
+            assert np.isclose(np.exp(got), total(word))
+    counts = lattice.expected(["▁ab"], np.array([2.0]), logs)
     ways = {("▁", "a", "b"): 0.3 * 0.1 * 0.2, ("▁", "ab"): 0.3 * 0.05, ("▁a", "b"): 0.15 * 0.2}
     z = sum(ways.values())
     for piece, k in lattice_rows(pieces):
         assert np.isclose(counts[k], 2 * sum(v for w, v in ways.items() if piece in w) / z)
 
 
+def test_language_id_with_runs_of_unknown_letters(spark):
+    """Long runs of letters without pieces, in few or many words, leave the model finite and the rest of its verdicts as they were."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    parts = {"en": "the and ing tion er of", "fr": "eau que ment les ouï ère"}
+    rows = [(k, prose(k, 30, parts[lang]), lang) for k in range(200) for lang in [("en", "fr")[k % 2]]]
+    odd = [(1000 + k, "\U0001d538" * n + " " + "\U0001d539" * 40, "fr") for k, n in enumerate((30, 36, 47, 48, 60, 300, 5000))]
+    table = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    *_, probs = language_id.fit(table, model)
+    assert np.isfinite(probs).all() and (probs > 0).all()
+    got = {r.doc_id: r for r in language_id.identify(table, table, model).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert sum(got[k].lang_pred == lang for k, _, lang in rows) >= 0.97 * len(rows)
+    assert {got[k].lang_pred for k, *_ in odd} == {"fr"}
+
+
 def lattice_rows(pieces):
     return [(p, k + 1) for k, p in enumerate(pieces)]
 
@@ -390,7 +406,49 @@ def test_shared_backoff_gives_unknown_letters_no_evidence():
     assert a.gram("qqqqqq") == 0.0
     assert a.gram("^^^^ab") > 0 > a.gram("^^^^xy")
     for k in (0, 1):  # what follows a context sums to at most one
-        assert sum(a.of_class(k, "^^^^a" + c) for c in "abcdxyzw$") <= 1 + 1e-9
+        assert sum(np.exp(a.of_class(k, "^^^^a" + c)) for c in "abcdxyzw$") <= 1 + 1e-9
+
+
+def brute_kneser_ney(words, classes, gram):
+    """log P(last letter | the others, toxic) less the same for ordinary, from the definition: counts on top, numbers of contexts below."""
+    marked = [["^" * (toxicity.ORDER - 1) + w + "$" for w in ws] for ws in words]
+    tops = [collections.Counter(s[i : i + toxicity.ORDER] for s in ss for i in range(len(s) - toxicity.ORDER + 1)) for ss in marked]
+
+    def count(k, g):
+        if len(g) == toxicity.ORDER:
+            return tops[k][g]
+        # a gram's continuation count: letters that stand before it, in words of the class or, for shared orders, of either
+        return len({x[-len(g) - 1] for t in ([tops[k]] if len(g) > toxicity.SHARED else tops) for x in t if x.endswith(g)})
+
+    def prob(k, g):
+        if not g:
+            return toxicity.FLOOR
+        letters = {x[-1] for t in tops for x in t}
+        each = {c: count(k, g[:-1] + c) for c in letters | {g[-1]}}
+        total, types = sum(each.values()), sum(n > 0 for n in each.values())
+        if not total:
+            return prob(k, g[1:])
+        return (max(each[g[-1]] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * types * prob(k, g[1:])) / total
+
+    return np.log(prob(0, gram) / prob(1, gram))
+
+
+def test_kneser_ney_gram_by_gram():
+    rng = random.Random(12)
+    words = [["".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(25)] for _ in range(2)]
+    counts = [collections.Counter(g for w in ws for g in toxicity.grams(w)) for ws in words]
+    ratio = toxicity.Ratio(*counts)
+    for g in ["".join(rng.choices("abcde^$", k=toxicity.ORDER)) for _ in range(40)] + list(counts[0])[:60] + list(counts[1])[:60]:
+        assert np.isclose(ratio.gram(g), brute_kneser_ney(words, 2, g)), g
+
+
+def test_toxicity_is_per_letter():
+    scorer = toxicity.Scorer(collections.Counter(toxicity.grams("vexor")), collections.Counter(g for w in ("the", "and") for g in toxicity.grams(w)), limit=2)
+    whole, strongest = scorer.features("the vexor vexor and the")
+    w = {x: scorer.word(x) for x in ("the", "vexor", "and")}
+    assert np.isclose(whole, (2 * w["the"] + 2 * w["vexor"] + w["and"]) / (4 + 6 + 6 + 4 + 4)) and np.isclose(strongest, w["vexor"] / 6)
+    assert scorer.features(None) == scorer.features("1 2") == (0.0, 0.0) and len(scorer.words) <= 2
+    assert np.isfinite(scorer.features("q" * 100_000)).all()
 
 
 def reference_unigram(pieces, bytes_too):

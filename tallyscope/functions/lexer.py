@@ -86,27 +86,19 @@ def string_marks(text: str, symbols: tuple[str, ...], open_symbol: int | None) -
 
 
 def untangle(starts: list[int], ends: list[int], in_block: bool, size: int) -> None:
-    """Remove marks that share characters with the mark that counts (``/*/``, ``*/*``).
+    """Remove marks that share characters with a mark that counts (``/*/``, ``*/*``).
 
-    Which one counts follows from whether a block is open there. The comparison of an
-    end's place with the number of starts passed is as the fixtures need it.
+    Marks are read in the order of their places. Outside of a block a start counts, inside an end does;
+    each takes the marks of the other kind that overlap it away.
     """
-    i = j = 0
-    while i < len(starts) and j < len(ends):
-        gap = starts[i] - ends[j]
-        if 0 < abs(gap) < size:
-            losing, at, winner = (starts, i, ends[j]) if in_block else (ends, j, starts[i])
-            del losing[at]
-            if at < len(losing) and losing[at] < winner + size:
-                del losing[at]
-            i, j = (i, j + 1) if in_block else (i + 1, j)
+    gone: set[tuple[int, bool]] = set()
+    for mark in sorted([(p, False) for p in starts] + [(p, True) for p in ends]):
+        place, closes = mark
+        if closes == in_block and mark not in gone:
+            gone |= {(place + d, not closes) for d in range(1 - size, size) if d}
             in_block = not in_block
-        elif gap < 0:
-            i += 1
-            in_block |= i < len(starts) and starts[i] > ends[j]
-        else:
-            j += 1
-            in_block &= not (j < len(ends) and ends[j] > i)
+    starts[:] = [p for p in starts if (p, False) not in gone]
+    ends[:] = [p for p in ends if (p, True) not in gone]
 
 
 class Lane:
@@ -229,24 +221,32 @@ def is_code(facts: LineFacts, braces_as_code: bool = False) -> bool:
     return braces_as_code or facts.cleansed.strip(WHITE) not in BRACES
 
 
+def touching(found: list[int], size: int) -> list[list[int]]:
+    """Places in runs of occurrences without anything between them."""
+    runs: list[list[int]] = []
+    for p in found:
+        if runs and runs[-1][-1] + size == p:
+            runs[-1].append(p)
+        else:
+            runs.append([p])
+    return runs
+
+
 def count_alias(text: str, alias: str) -> int:
     """Occurrences of ``alias`` between edges.
 
-    Two occurrences that touch drop out together, and the one after them is then not
-    compared with its neighbour; the text beside what is left is taken between
-    remaining occurrences.
+    Of a run of touching occurrences every third one counts and, if it is left over, the last;
+    two left over don't, but then the next run's first one stands apart from its run. An
+    occurrence that counts is an edge for the ones beside it, as the text's ends are.
     """
-    found = places(text, alias)
-    k = 0
-    while k + 1 < len(found):
-        if found[k] + len(alias) == found[k + 1]:
-            del found[k : k + 2]
-        k += 1
-    if not found:
-        return 0
-    sides = [text[a:b] for a, b in zip([0, *(p + len(alias) for p in found)], [*found, len(text)])]
-    clear = lambda s, at: not s or s[at] in KEYWORD_EDGES
-    return sum(clear(before, -1) and clear(after, 0) for before, after in zip(sides, sides[1:]))
+    size, kept, apart = len(alias), [], False
+    for run in touching(places(text, alias), size):
+        if apart:
+            kept.append(run.pop(0))
+        kept += run[2::3] + (run[-1:] if len(run) % 3 == 1 else [])
+        apart = len(run) % 3 == 2
+    lefts, rights = {0, *(p + size for p in kept)}, {len(text), *kept}
+    return sum((p in lefts or text[p - 1] in KEYWORD_EDGES) and (p + size in rights or text[p + size] in KEYWORD_EDGES) for p in kept)
 
 
 def file_facts(text: str, language: Language, braces_as_code: bool = False, keywords: bool = True) -> tuple[int, int, list[int]]:

@@ -11,8 +11,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import lexer
 from ..languages import Language
@@ -29,6 +31,15 @@ def split_lines(text: Column) -> Column:
     return F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
 
 
+#: A line that is no code wherever it stands outside of strings and comments.
+BLANK_OR_BRACES = r"(?U)^\s*(\{|\}|\};)?\s*$"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for each row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(line: Column) -> Column:
     return F.regexp_replace(line, TRIM, "")
 
@@ -38,32 +49,31 @@ def is_extra(trimmed: Column, braces_as_code: bool = False) -> Column:
     return F.lit(False) if braces_as_code else trimmed.isin(*sorted(lexer.BRACES))
 
 
-def keyword_count(cleansed: Column, aliases: list[str]) -> Column:
-    """How often whole tokens between spaces, braces and commas are one of ``aliases``."""
-    return F.size(F.filter(F.split(cleansed, r"[ {},]"), lambda x: x.isin(*aliases)))
-
-
 def file_stats(files: DataFrame, languages: dict[str, Language], braces_as_code: bool = False, keywords: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``files`` (language, text and the columns ``keep``) with lines, code_lines and a count for each keyword of the language.
 
-    A null text or an unknown language has null counts. It is a map without shuffle, and only the
-    text's batch is held.
+    A null text or a null or unknown language has null counts, an empty text no lines. Equal files each get
+    a row. Columns of ``keep`` may have any names but those three. It is a map without shuffle, and only
+    the text's batch is held.
     """
     ship(files.sparkSession)
     keep = [c for c in files.columns if c not in ("text", "error")] if keep is None else keep
-    kept = files.select(*keep, F.col("language").alias("_language"), F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-2])
+    found = ("lines", "code_lines", "counts")
+    if clash := {c.lower() for c in keep} & set(found):
+        raise ValueError(f"columns {sorted(clash)} would stand twice; rename them or leave them out of keep")
+    kept = files.select(*[F.col(f"`{c}`") for c in keep], F.col("language"), F.col("text"))
+    schema = T.StructType([*kept.schema.fields[:-2], *T.StructType.fromDDL(STATS).fields])
 
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for name, text in zip(batch.column("_language").to_pylist(), batch.column("_text")):
+            for name, text in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1)):
                 language, text = languages.get(name), text.as_py()
                 rows.append((None, None, None) if language is None or text is None else lexer.file_facts(text, language, braces_as_code, keywords))
             lines, code, counts = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lines, pa.int64()), pa.array(code, pa.int64()), pa.array(counts, pa.list_(pa.int64()))], [*keep, "lines", "code_lines", "counts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lines, pa.int64()), pa.array(code, pa.int64()), pa.array(counts, pa.list_(pa.int64()))], [*keep, *found])
 
-    return kept.mapInArrow(run, f"{fields}, {STATS}" if fields else STATS)
+    return kept.mapInArrow(run, schema)
 
 
 def keyword_stats(stats: DataFrame, languages: DataFrame) -> DataFrame:
@@ -113,29 +123,68 @@ def line_outcomes(lines: DataFrame, languages: dict[str, Language], braces_as_co
     return plain.withColumn("line_no", F.col("line_no").cast("long")).unionByName(marked)
 
 
-def compose(first: Column, second: Column) -> Column:
-    """The state array of one stretch of lines followed by another."""
-    return F.transform(first, lambda s: F.get(second, s))
+def _sorted_runs(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of one (file, stretch) side by side in one task, in order."""
+    return rows.repartition("file", "stretch").sortWithinPartitions("file", "stretch", *order)
 
 
 def line_states(outcomes: DataFrame, stretch: int = 4096) -> DataFrame:
     """(file, line_no, state, is_code) for ``line_outcomes``: the state before each line by a prefix scan.
 
-    Lines fall in stretches; each stretch's array is composed by its own task, a file's stretches are
-    scanned (one row for ``stretch`` lines), and every stretch is then walked from its first
-    state. No task sees more than a stretch of lines or a file's list of stretches.
+    Lines fall in stretches. What a stretch does to the state is composed where its lines are; a file's
+    stretches (a row of four numbers for ``stretch`` lines) are scanned once from its start, which gives the state
+    before each; and each stretch is walked from there. All three are linear and read their
+    rows as a stream, so a file of any length is shared by many tasks. No rows: no rows.
     """
-    cut = outcomes.withColumn("stretch", F.floor(F.col("line_no") / stretch))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "next", "code")))
-    held = cut.groupBy("file", "stretch").agg(ordered.alias("rows"))
-    start = F.array(*map(F.lit, range(4)))
-    whole = held.withColumn("whole", F.aggregate("rows", start, lambda a, r: compose(a, r["next"])))
-    before = Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.aggregate(F.collect_list("whole").over(before), F.lit(0), lambda s, f: F.get(f, s))
-    walked = F.aggregate(
-        "rows",
-        F.struct(F.col("first").alias("s"), F.array().cast("array<int>").alias("out")),
-        lambda a, r: F.struct(F.get(r["next"], a["s"]).alias("s"), F.concat(a["out"], F.array(a["s"])).alias("out")),
-    )["out"]
-    each = whole.withColumn("first", first).select("file", F.inline(F.zip_with("rows", walked, lambda r, s: F.struct(r["line_no"].alias("line_no"), s.alias("state"), F.get(r["code"], s).alias("is_code")))))
-    return each.select("file", "line_no", "state", "is_code")
+    kind = next(f.dataType for f in outcomes.schema.fields if f.name == "file")
+    arrow = to_arrow_type(kind)
+    cut = outcomes.select("file", "line_no", "next", "code", F.floor(F.col("line_no") / stretch).cast("long").alias("stretch"))
+
+    def columns(batch, *names):
+        return zip(*(batch.column(c).to_pylist() for c in names))
+
+    def compose(batches):
+        key, now = None, None
+        for batch in batches:
+            done = []
+            for file, k, after in columns(batch, "file", "stretch", "next"):
+                if (file, k) != key:
+                    done += [(*key, now)] if key else []
+                    key, now = (file, k), [0, 1, 2, 3]
+                now = [after[s] for s in now]
+            yield as_batch(done)
+        yield as_batch([(*key, now)] if key else [])
+
+    def as_batch(rows):
+        file, k, whole = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(file, arrow), pa.array(k, pa.int64()), pa.array(whole, pa.list_(pa.int32()))], ["file", "stretch", "whole"])
+
+    def begin(batches):
+        last, state = None, 0
+        for batch in batches:
+            first = []
+            for file, whole in columns(batch, "file", "whole"):
+                state = state if file == last else 0
+                first.append(state)
+                last, state = file, whole[state]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("stretch"), pa.array(first, pa.int32())], ["file", "stretch", "first"])
+
+    def walk(batches):
+        key, state = None, 0
+        for batch in batches:
+            states, flags = [], []
+            for file, k, after, code, first in columns(batch, "file", "stretch", "next", "code", "first"):
+                if (file, k) != key:
+                    key, state = (file, k), first
+                states.append(state)
+                flags.append(code[state])
+                state = after[state]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("line_no"), pa.array(states, pa.int32()), pa.array(flags, pa.bool_())], ["file", "line_no", "state", "is_code"])
+
+    def typed(ddl: str) -> T.StructType:
+        return T.StructType([T.StructField("file", kind), *T.StructType.fromDDL(ddl).fields])
+
+    wholes = _sorted_runs(cut, "line_no").mapInArrow(compose, typed("stretch long, whole array<int>"))
+    firsts = wholes.repartition("file").sortWithinPartitions("file", "stretch").mapInArrow(begin, typed("stretch long, first int"))
+    walked = _sorted_runs(cut.join(firsts, ["file", "stretch"]), "line_no")
+    return walked.mapInArrow(walk, typed("line_no long, state int, is_code boolean"))

@@ -84,11 +84,13 @@ def percentages(rows: DataFrame, *columns: str) -> DataFrame:
     whole = Window.partitionBy(F.lit(0))
     before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     last = F.col("rank") == F.max("rank").over(whole)
+    # the helper columns' names are longer than any of the table's, so none is the same
+    pad = "_" * (1 + max(map(len, rows.columns)))
     for c in columns:
         share = F.round(F.col(c) / F.sum(c).over(whole) * 10000.0, 0) / 100.0
-        rows = rows.withColumn("_share", F.coalesce(share, F.lit(0.0))).withColumn("_before", F.coalesce(F.sum("_share").over(before), F.lit(0.0)))
-        rest = F.when(F.col("_before") > 99.99, 0.0).otherwise(round_to(100.0 - F.col("_before"), 2))
-        rows = rows.withColumn(f"{c}_pct", F.when(last, rest).otherwise(F.col("_share"))).drop("_share", "_before")
+        rows = rows.withColumn(f"{pad}share", F.coalesce(share, F.lit(0.0))).withColumn(f"{pad}before", F.coalesce(F.sum(f"{pad}share").over(before), F.lit(0.0)))
+        rest = F.when(F.col(f"{pad}before") > 99.99, 0.0).otherwise(round_to(100.0 - F.col(f"{pad}before"), 2))
+        rows = rows.withColumn(f"{c}_pct", F.when(last, rest).otherwise(F.col(f"{pad}share"))).drop(f"{pad}share", f"{pad}before")
     return rows
 
 

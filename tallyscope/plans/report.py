@@ -25,30 +25,17 @@ def bar_slots(shares: list[float]) -> list[int]:
     return fit_slots([0 if not p else max(1, int(round_half_away(p / 2))) for p in shares])
 
 
+#: How far the two largest bars may be apart before the largest takes a change, when slots go and when they come.
+NEAR = {-1: 3, 1: 5}
+
+
 def fit_slots(slots: list[int]) -> list[int]:
-    """``slots`` with the sum SLOTS: equal largest ones change first, then the largest and the second by how far they are apart."""
+    """``slots`` with the sum SLOTS; only the two largest bars change: first the largest, then the other as long as they are near."""
     slots, gap = list(slots), SLOTS - sum(slots)
-    if not gap:
-        return slots
-    step, left = (1 if gap > 0 else -1), abs(gap)
-    order = sorted(range(len(slots)), key=lambda k: -slots[k])
-    largest = [k for k in order if slots[k] == slots[order[0]]]
-    if len(largest) > 1:
-        for k in largest[:left]:
-            slots[k] += step
-        left -= min(left, len(largest))
-    for n in range(left):
-        a, b = order[0], order[1] if len(order) > 1 else order[0]
-        if step < 0:
-            to = a if n == 0 or slots[a] > slots[b] + 3 else b
-            slots[to] -= 1
-            if n == 0 or (to == b and len(order) > 2):
-                order.sort(key=lambda k: -slots[k])
-        else:
-            to = b if n and slots[a] > slots[b] + 5 else a
-            slots[to] += 1
-            if to == b and len(order) > 2:
-                order.sort(key=lambda k: -slots[k])
+    step = 1 if gap > 0 else -1
+    first, second = (sorted(range(len(slots)), key=lambda k: -slots[k]) * 2)[:2]
+    for n in range(abs(gap)):
+        slots[second if n and slots[first] - slots[second] <= NEAR[step] else first] += step
     return slots
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import sys
+from dataclasses import replace
 
-from .config import MESSAGES, ArgumentError, parse_arguments
+from .config import DEFAULT_NAME, DEFAULTS, MESSAGES, ArgumentError, config_path, config_text, parse_arguments
 from .functions.formatting import PALETTES
-from .languages import LanguageError, built_in, load_languages
+from .languages import LanguageError, built_in, load_languages, save_languages
 
 HELP = """Count lines, code lines and keywords of source files.
 
@@ -50,12 +51,31 @@ def message(which: str, home: str, languages) -> str:
     return HELP
 
 
+def furnish(home: str) -> None:
+    """Put the built-in languages and palettes and a default configuration in a new data folder, for the user to edit."""
+    if not os.path.isdir(os.path.join(home, "languages")):
+        save_languages(built_in(), os.path.join(home, "languages"))
+    palettes = os.path.join(home, "palettes")
+    if not os.path.isdir(palettes):
+        os.makedirs(palettes)
+        for name, colors in PALETTES.items():
+            with open(os.path.join(palettes, f"{name}.txt"), "w", encoding="utf-8") as f:
+                f.write(f"{colors}\n")
+    default = config_path(os.path.join(home, "config"), DEFAULT_NAME)
+    if not os.path.isfile(default):
+        os.makedirs(os.path.dirname(default), exist_ok=True)
+        with open(default, "w", encoding="utf-8") as f:
+            f.write(config_text(replace(DEFAULTS, colors=None)))
+
+
 def main(args: list[str] | None = None) -> int:
     line = " ".join(sys.argv[1:] if args is None else args) or "./"
     home = os.environ.get("TALLYSCOPE_HOME", os.path.expanduser("~/.tallyscope"))
-    own = os.path.join(home, "languages")
     try:
-        languages = load_languages(own)[0] if os.path.isdir(own) else built_in()
+        furnish(home)
+        languages, faulty = load_languages(os.path.join(home, "languages"))
+        if faulty:
+            print(f"unusable language files: {', '.join(faulty)}", file=sys.stderr)
         for which in MESSAGES:
             if f"--{which}" in line:
                 print(message(which, home, languages))
@@ -77,7 +97,7 @@ def main(args: list[str] | None = None) -> int:
         print(text)
         if options.log is not None and log:
             scan.write_log(log, entry, options)
-    except (ArgumentError, LanguageError, RuntimeError) as e:
+    except (ArgumentError, LanguageError, OSError, RuntimeError) as e:
         print(e, file=sys.stderr)
         return 1
     return 0

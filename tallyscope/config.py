@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields, replace
 
 from .functions.formatting import load_palette, parse_colors, parse_languages, parse_number, parse_paths, parse_two_numbers
 from .sources.globs import GlobError, exclude_regex
-from .sources.listing import resolve_targets
+from .sources.listing import TargetError, resolve_targets
 
 DEFAULT_NAME = "default"
 LEVELS = (0, 10)
@@ -138,7 +138,7 @@ def _value(name: str, text: str, palettes: str | None):
     wrong = ArgumentError("IncorrectCommandArgs", name)
     if key in FLAGS:
         if text.strip():
-            raise wrong
+            raise ArgumentError("UnexpectedCommandArgs", name)
         return True
     if key in LISTS:
         found = LISTS[key](text)
@@ -174,15 +174,19 @@ def parse_arguments(line: str, folder: str, palettes: str | None = None) -> Opti
     What is saved is what was said or loaded. A configuration's value that can't be read is
     an error unless the arguments give another.
     """
+    if not line.strip():
+        raise ArgumentError("NoArgsProvided")
     head, *rest = line.split("--")
     gitignore, dotted = "--no-gitignore" not in line, "--search-in-dotted" in line
     said: dict = {}
 
-    def targets(entries: list[str]) -> list[str]:
+    def targets(entries: list[str], config: str | None = None) -> list[str]:
         try:
             return resolve_targets(entries, gitignore, dotted)
-        except ValueError as e:
-            raise ArgumentError("InvalidPath", str(e)) from e
+        except TargetError as e:
+            if config is not None:
+                raise ArgumentError("InvalidPathInConfig", f"{config}: {e}") from e
+            raise ArgumentError(e.kind, str(e)) from e
 
     if head.strip():
         said["dirs"] = targets(parse_paths(head))
@@ -202,7 +206,7 @@ def parse_arguments(line: str, folder: str, palettes: str | None = None) -> Opti
     for name in filter(None, (own.load, DEFAULT_NAME)):
         loaded = load_config(folder, name, own, palettes, must=name == own.load)
         if name == own.load:
-            own = own.over(replace(loaded, dirs=targets(loaded.dirs) if loaded.dirs and own.dirs is None else loaded.dirs))
+            own = own.over(replace(loaded, dirs=targets(loaded.dirs, name) if loaded.dirs and own.dirs is None else loaded.dirs))
             if own.save:
                 save_config(folder, own.save, own)
         else:

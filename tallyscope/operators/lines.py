@@ -61,8 +61,8 @@ def file_stats(files: DataFrame, languages: dict[str, Language], braces_as_code:
     found = ("lines", "code_lines", "counts")
     if clash := {c.lower() for c in keep} & set(found):
         raise ValueError(f"columns {sorted(clash)} would stand twice; rename them or leave them out of keep")
-    kept = files.select(*[F.col(f"`{c}`") for c in keep], F.col("language"), F.col("text"))
-    schema = T.StructType([*kept.schema.fields[:-2], *T.StructType.fromDDL(STATS).fields])
+    kept = files.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], "language", "text")
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(keep, kept.schema.fields)), *T.StructType.fromDDL(STATS).fields])
 
     def run(batches):
         for batch in batches:

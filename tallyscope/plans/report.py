@@ -99,6 +99,16 @@ def overview(rows: list[dict], visual: bool = True, colors: list[str] | None = N
     return "Overview.\n\n" + "\n\n".join(out)
 
 
+def summary(counts: dict, faulty: int, unknown: tuple[str, ...] = ()) -> str:
+    """How many files the run met, and what of the request it could not follow."""
+    out = [f"{with_separators(counts['total'])} files: {with_separators(counts['relevant'])} of a known language, {with_separators(counts['excluded'])} excluded"]
+    if faulty:
+        out.append(f"{with_separators(faulty)} could not be read (--show-faulty-files lists them)")
+    if unknown:
+        out.append(f"no such language: {', '.join(unknown)}")
+    return "\n".join(out)
+
+
 def progress(entries: list[dict], now: dict, now_ts) -> str:
     """Each earlier run's age and the change of its numbers up to ``now``."""
     out = []

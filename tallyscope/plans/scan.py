@@ -33,6 +33,7 @@ class Scan:
     files: DataFrame
     keywords: bool = True
     seconds: float = 0.0
+    unknown: tuple[str, ...] = ()
 
     def language_stats(self) -> DataFrame:
         return stats.language_stats(self.files)
@@ -63,7 +64,7 @@ class Scan:
 def scan(spark: SparkSession, targets: list[str], languages: dict[str, Language], options: Options, folder: str | None = None) -> Scan:
     """List, read and count ``targets``. ``folder``: where the listing and file statistics are written as Parquet; without it they are persisted."""
     began = time.time()
-    kept, _ = select_languages(languages, options.languages, options.exclude_languages)
+    kept, unknown = select_languages(languages, options.languages, options.exclude_languages)
     dimension = language_frame(spark, kept)
     wanted = frozenset(x for language in kept.values() for x in language.extensions)
     listing = list_files(spark, targets, ListOptions(wanted, exclude_regex(options.exclude or []), bool(options.search_in_dotted), not options.no_gitignore))
@@ -75,7 +76,7 @@ def scan(spark: SparkSession, targets: list[str], languages: dict[str, Language]
         raise NoFilesError("no relevant files")
     contents = read_contents(files, relevant.bytes)
     counted = lines.file_stats(contents, kept, bool(options.braces_as_code), not options.no_keywords, keep=["path", "language", "bytes", "error"])
-    return Scan(spark, kept, listing, _keep(counted, folder, "files"), not options.no_keywords, time.time() - began)
+    return Scan(spark, kept, listing, _keep(counted, folder, "files"), not options.no_keywords, time.time() - began, tuple(unknown))
 
 
 def _keep(df: DataFrame, folder: str | None, name: str) -> DataFrame:
@@ -87,7 +88,7 @@ def _keep(df: DataFrame, folder: str | None, name: str) -> DataFrame:
 
 
 def render(run: Scan, options: Options, log_text: str | None = None, now: datetime | None = None) -> tuple[str, dict]:
-    """(report, log entry) of a run; a row per language is all that reaches the driver."""
+    """(report, log entry) of a run; a row per language is all that reaches the driver, and the list of faulty files if asked for."""
     rows = [r.asDict() for r in stats.ranked(run.language_stats()).orderBy("rank").collect()]
     if not rows:
         raise NoFilesError("all files are faulty")
@@ -100,7 +101,7 @@ def render(run: Scan, options: Options, log_text: str | None = None, now: dateti
             words.setdefault(r.language, {})[r.keyword] = r.n
         sums = {r.keyword: r.n for r in stats.keyword_totals(found).collect()}
     top = [r.asDict() for r in stats.top_and_others(run.language_stats()).orderBy("rank").collect()]
-    parts = [report.details(rows, words)]
+    parts = [report.summary(run.summary().first().asDict(), run.faulty().count(), run.unknown), report.details(rows, words)]
     if len(rows) > 1:
         parts += [report.total(total, sums), report.overview(top, not options.no_visual, options.colors)]
     now = now or datetime.now(timezone.utc)

@@ -18,7 +18,11 @@ from .globs import GlobError, IgnoreStack, glob_regex, is_path_ignored
 
 
 class TargetError(ValueError):
-    """A target that is missing, or a pattern without a usable match."""
+    """A target that is missing, or a pattern without a usable match; ``kind`` names which."""
+
+    def __init__(self, kind: str, detail: str):
+        super().__init__(detail)
+        self.kind = kind
 
 
 @dataclass(frozen=True)
@@ -76,21 +80,21 @@ def resolve_targets(entries: list[str], gitignore: bool = True, dotted: bool = F
         entry = entry.strip()
         if not any(c in entry for c in "*?[{"):
             if not os.path.exists(entry):
-                raise TargetError(f"no such path: {entry}")
+                raise TargetError("InvalidPath", f"no such path: {entry}")
             out.append(absolute(entry))
             continue
         pattern = entry.replace("\\", "/")
         try:
             glob_regex(pattern, braces=False)
         except GlobError as e:
-            raise TargetError(f"invalid pattern: {entry}") from e
+            raise TargetError("InvalidGlobPattern", f"invalid pattern: {entry}") from e
         found = [p for p in sorted(glob.glob(pattern, recursive=True, include_hidden=True)) if os.path.isdir(p) or os.path.isfile(p)]
         if not found:
-            raise TargetError(f"nothing matches {entry}")
+            raise TargetError("NoGlobMatches", f"nothing matches {entry}")
         found = [p.rstrip("/") for p in found]
         usable = [p for p in found if (dotted or not os.path.basename(p).startswith(".")) and not (gitignore and is_path_ignored(absolute(p)))]
         if not usable:
-            raise TargetError(f"all that {entry} matches is ignored")
+            raise TargetError("AllGlobMatchesIgnored", f"all that {entry} matches is hidden or ignored; --no-gitignore or --search-in-dotted take it in")
         out += map(absolute, usable)
     return without_overlaps(out)
 

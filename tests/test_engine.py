@@ -146,6 +146,7 @@ def test_file_stats_and_faulty_files(spark, tmp_path):
     run.register("t_")
     assert spark.sql("SELECT sum(lines) FROM t_files").first()[0] == 4
     text, entry = scan.render(run, replace(DEFAULTS, show_faulty_files=True))
+    assert "1 could not be read" in text and "no such language: nope" in report.summary({"total": 1, "relevant": 1, "excluded": 0}, 0, ("nope",))
     assert "Java" in text and "Overview" in text and "faulty: " in text and entry["lines"] == 4
     with pytest.raises(scan.NoFilesError):
         scan.scan(spark, [f"{top}/d.txt"], LANGUAGES, DEFAULTS)
@@ -186,6 +187,19 @@ def test_report_maths():
     assert report.total_size(2417403) == (2.4, "MBs") and report.total_size(49334) == (49.3, "KBs")
 
 
+def test_columns_of_any_name(spark):
+    rows = [("Java", "class A {\n}\n", 1, 2, 3, 4), ("Nope", "x", 1, 2, 3, 4), (None, None, None, None, None, None), ("Java", "", 1, 2, 3, 4)]
+    files = spark.createDataFrame(rows, "language string, text string, `_language` int, `a.b` int, `_text` int, `Text 2` int")
+    got = lines.file_stats(files, LANGUAGES, keep=["language", "_language", "a.b", "_text", "Text 2"]).collect()
+    assert sorted((str(r.language), r["a.b"], r.lines, r.code_lines) for r in got) == [("Java", 2, 0, 0), ("Java", 2, 2, 1), ("None", None, None, None), ("Nope", 2, None, None)]
+    with pytest.raises(ValueError):
+        lines.file_stats(files.withColumn("Lines", F.lit(1)), LANGUAGES, keep=["Lines"])
+    shares = spark.createDataFrame([(1, 3, "x", "y"), (2, 1, "x", "y")], "rank int, files long, _share string, _before string")
+    assert [(r.files_pct, r._share) for r in stats.percentages(shares, "files").orderBy("rank").collect()] == [(75.0, "x"), (25.0, "x")]
+    none = lines.file_stats(files.limit(0), LANGUAGES, keep=["a.b"])
+    assert none.count() == 0 and none.columns == ["a.b", "lines", "code_lines", "counts"]
+
+
 def test_derived_tables(spark):
     rows = [("py", 5, 500, 1000, 10), ("java", 4, 400, 900, 5), ("cs", 3, 300, 800, 5), ("rs", 2, 200, 700, 5), ("go", 1, 100, 600, 5)]
     table = spark.createDataFrame(rows, "language string, files long, bytes long, lines long, code_lines long").withColumn("extra_lines", F.col("lines") - F.col("code_lines"))
@@ -245,9 +259,13 @@ def test_configurations(tmp_path):
         f.write("===> compare\n7\n\n===> no-visual\nyes\n")
     got = parse_arguments(f"--dirs {src} --save other", folder)
     assert got.compare == 7 and got.no_visual and load_config(folder, "other").compare is None
+    with open(os.path.join(folder, "gone.txt"), "w") as f:
+        f.write("===> dirs\n/no/such/path\n")
+    tree(tmp_path / "src", {".hidden.py": ""})
     for line, kind in (
         (f"{src} --dirs {src}", "DoublePath"), (f"{src} --nope", "UnrecognisedCommand"), (f"{src} --threads 9 1", "IncorrectCommandArgs"), (f"{src} --load none", "NonExistentConfig"),
-        ("/no/such/path", "InvalidPath"), (f"{src} --exclude [", "IncorrectCommandArgs"), (f"{src} --braces-as-code yes", "IncorrectCommandArgs"), (f"{src} --color-palette none", "UnknownPalette"), ("--dirs ", "IncorrectCommandArgs"),
+        ("/no/such/path", "InvalidPath"), (f"{src} --exclude [", "IncorrectCommandArgs"), (f"{src} --braces-as-code yes", "UnexpectedCommandArgs"), (" ", "NoArgsProvided"),
+        (f"{src}/q*", "NoGlobMatches"), (f"{src}/[z-a]", "InvalidGlobPattern"), ("--load gone", "InvalidPathInConfig"), (f"{src}/.hid*", "AllGlobMatchesIgnored"), (f"{src} --color-palette none", "UnknownPalette"), ("--dirs ", "IncorrectCommandArgs"),
     ):
         with pytest.raises(ArgumentError) as e:
             parse_arguments(line, folder)
@@ -263,7 +281,9 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setenv("TALLYSCOPE_HOME", str(tmp_path / "home"))
     src = tree(tmp_path / "src", {"a.py": "x\n", "b.rs": "fn a() {\n}\n"})
     assert cli.main([src, "--save", "run", "--log", "first", "--no-visual"]) == 0
-    assert "Total" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "Total" in out and "2 files: 2 of a known language, 0 excluded" in out
+    assert cli.load_languages(str(tmp_path / "home" / "languages")) == (LANGUAGES, []) and (tmp_path / "home" / "config" / "default.txt").is_file()
     assert cli.main(["--load", "run", "--log", "second"]) == 0
     out = capsys.readouterr().out
     assert "Progress" in out and '"first"' in out

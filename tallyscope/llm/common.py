@@ -54,8 +54,18 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             remove(spark, path)
-        except Exception:  # the session has ended already; nothing can be done any more
-            break
+        except Exception:  # noqa: S112  that session has ended, or the folder is gone; others may be left
+            continue
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table made by ``staged`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for k, (spark, known) in enumerate(_written):
+            if path.split(":", 1)[-1].replace("//", "/").endswith(known.split(":", 1)[-1].replace("//", "/")):
+                remove(spark, known)
+                del _written[k]
+                break
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -107,5 +117,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def spread_join(rows: DataFrame, by_key: DataFrame, key: str, n: str, total: int, most: int = 1000) -> DataFrame:
+    """``rows`` joined to ``by_key``, which has a row for each key and in column ``n`` how many rows have it.
+
+    Keys that more than one in ``most`` of all ``total`` rows have, fewer than ``most`` keys, are
+    broadcast, so that no task gets all rows of a heavy key; the others meet by a shuffle.
+    """
+    heavy, light = by_key.where(F.col(n) * most > total), by_key.where(F.col(n) * most <= total)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

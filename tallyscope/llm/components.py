@@ -5,31 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, spread_join, staged
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): each node of ``edges`` (a, b) with the smallest node it reaches.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): each node of ``edges`` (a, b) with the smallest node it reaches, roots themselves left out.
 
     Large-star and small-star steps in turn: every node links its larger, then
     its smaller neighbours to the smallest one it knows. Steps shrink the
     paths until only stars are left, in about the logarithm of their length.
     Each step is written in the shared folder, so lineage stays short and
-    survives lost executors. Minima combine before the shuffle, so a
-    node with many neighbours costs its edges once.
+    survives lost executors; a step's table goes once the next one is there.
+    Minima combine before the shuffle, and a node with many neighbours meets its minimum by
+    a broadcast, so no task gets all edges of a large group's centre. Steps go on to the fixed
+    point, which they reach because every step lowers a neighbour or changes nothing. Links with
+    a null end are left out. No edges: no rows.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
+        size = now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = spread_join(both, low, "a", "n", 2 * size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct()
-        now = staged(small, "edges")
+        before, now = now, staged(small, "edges")
+        discard(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = new
-    raise RuntimeError("components: no fixed point")

@@ -1,26 +1,34 @@
-"""Near copies by the Jaccard index of word shingles, all pairs at or above a limit.
+"""SimHash near-dedup with an exact check: groups of texts whose word shingles have a Jaccard index of 0.8 or more.
 
-A text is the set of its shingles' 64-bit hashes. Two sets that share at
-least four fifths share one of the first fifth (and one more) of each in any one
-order of all shingles. The order puts shingles last that a sample finds common, so
-a passage in many texts makes no candidates of them.
+The Gray-order index of ``simhash`` finds fingerprints of five-word shingles within three bits;
+each of its links is checked on the texts' whole shingle sets, and what passes settles most large
+groups. Three bits reach only some of the pairs at 0.8, so the rest is completed by an exact
+search, which looks only across what is settled: two sets that share at least four fifths share
+one of the first fifth (and one more) of each in any one order of all shingles. The order
+puts shingles last that a sample finds common, so a passage in many texts makes no candidates of them.
 
 Shingles of few texts give their pairs. Texts linked by shingles of many
 are grouped, and each group's blocks are compared two at a time in a task, where
-only a spanning forest comes out. Both ways count the shared shingles of the
-whole texts, so no link is missed and none is made below the limit.
+only a spanning forest comes out; blocks of one settled component are not compared. Both
+ways count the shared shingles of the whole texts, so no link is missed and none is made below
+the limit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import fresh, python_ready, staged
+from . import simhash
+from .common import fresh, python_ready, spread_join, staged
 from .components import components
-from .simhash import Forest, SEED, grouped, keep_first
+from .held import release
+from .simhash import Forest, SEED, combine, grouped, keep_first, shingle_hashes
 
 SHINGLE = 5
 #: The least Jaccard index of near copies is 4 / 5, in whole numbers so that it's exact.
@@ -30,34 +38,32 @@ SAMPLE, COMMON = 20_000, 4
 #: A shingle in more texts than this gives groups, not pairs.
 FEW = 32
 #: Texts of a block, and blocks of a group before blocks grow, up to the larger size.
-BLOCK, BLOCKS, LARGE_BLOCK = 256, 16, 4096
+BLOCK, BLOCKS, LARGE_BLOCK = 256, 16, 1024
+#: Bits of the fingerprints that the index links.
+LIMIT = 3
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of A-Z-lowered words; fewer words are one shingle, none give none."""
-    from xxhash import xxh64_intdigest
-
-    w = (text or "").encode().lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    grams = {b" ".join(x) for x in zip(*(w[k:] for k in range(shingle)))} if len(w) >= shingle else [b" ".join(w)]
-    return np.unique(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64))
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def set_udf():
-    """Arrow function: text to the hash of its shingle set, as a signed long."""
-    from collections.abc import Iterator
-
-    from pyspark.sql.functions import arrow_udf
+    """Arrow function: text to the hash of its shingle set and the fingerprint of its shingles, as signed longs."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
+        release()
         for column in batches:
-            yield pa.array(np.array([xxh64_intdigest(shingles(t.as_py()).tobytes(), SEED) for t in column], np.uint64).view(np.int64))
+            sets, fps = np.zeros(len(column), np.uint64), np.zeros(len(column), np.uint64)
+            for k, t in enumerate(column):
+                found = shingle_hashes(t.as_py(), SHINGLE)
+                sets[k], fps[k] = xxh64_intdigest(np.unique(found).tobytes(), SEED), combine(found)
+            yield pa.StructArray.from_arrays([pa.array(sets.view(np.int64)), pa.array(fps.view(np.int64))], ["node", "fp"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return arrow_udf(run, "long").asNondeterministic()  # so that it's never run twice for a row
+    return arrow_udf(run, "node long, fp long").asNondeterministic()  # so that it's never run twice for a row
 
 
 def common_shingles(texts: DataFrame, total: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +114,11 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> tuple
     return linked, root[linked]
 
 
-def pair_links(pairs: DataFrame, texts_of) -> DataFrame:
-    """Those (a, b) of ``pairs`` that are near; ``texts_of`` gives (node, text) of nodes."""
+def pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those (a, b) of ``pairs`` that are near; ``texts``: node, text."""
     pairs = staged(pairs, "near-pairs")
-    texts = staged(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()), "near-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    named = staged(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(texts, "node"), "near-texts")
+    both = pairs.join(named.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(named.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches):
         for batch in batches:
@@ -122,25 +128,49 @@ def pair_links(pairs: DataFrame, texts_of) -> DataFrame:
                 keep[k] = near(len(np.intersect1d(x, y, True)), len(x), len(y))
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "near-links")
+
+
+def index_links(one: DataFrame, texts: DataFrame) -> DataFrame:
+    """Near pairs (a, b) that the Gray-order index of fingerprints links; ``one``: node, fp."""
+    heads = staged(one.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "near-heads")
+    links = simhash.near_links(heads, LIMIT)
+    same = spread_join(one, heads, "fp", "n", one.count()).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    ends = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    across = links.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pair_links(same.unionByName(across), texts)
+
 
+def group_links(stars: DataFrame, settled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Spanning forests (a, b) of the near pairs across ``settled`` (node, root) within each component of ``stars`` (a, b), by pairs of blocks.
 
-def group_links(stars: DataFrame, texts_of) -> DataFrame:
-    """Spanning forests (a, b) of the near pairs within each component of ``stars`` (a, b), by pairs of blocks."""
+    Within a group, a settled component that fills a block gets blocks of its own, and these aren't compared with each other.
+    """
     found = components(stars)  # without a row for the root itself
-    groups = staged(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "near-groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    blocks = F.least(F.ceil(F.col("n") / BLOCK), F.greatest(F.lit(BLOCKS), F.ceil(F.col("n") / LARGE_BLOCK))).cast("int")
-    homes = groups.join(sizes, "root").select("node", "root", blocks.alias("m")).withColumn("home", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    texts = texts_of(groups.select("node"))
-    dealt = homes.join(texts, "node").select("node", "text", "root", "home", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("to"))
-    dealt = dealt.select("node", "text", "home", "root", F.least("home", "to").alias("x"), F.greatest("home", "to").alias("y"))
+    groups = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    known = settled.select("node", F.col("root").alias("part"))
+    groups = staged(groups.join(known, "node", "left").select("node", "root", F.coalesce("part", "node").alias("part")), "near-groups")
+    parts = groups.groupBy("root", "part").agg(F.count("*").alias("n"))
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGE_BLOCK), F.ceil(F.sum("n") / BLOCKS))).alias("size")
+    parts = parts.join(parts.groupBy("root").agg(size), "root").withColumn("own", F.col("n") >= F.col("size"))
+    owner = F.when(F.col("own"), F.col("part")).otherwise(0)
+    owners = staged(parts.groupBy("root", "own", owner.alias("owner")).agg(F.ceil(F.sum("n") / F.max("size")).cast("int").alias("m")), "near-owners")
+    large = parts.where("own").select("root", "part", "own")
+    homes = groups.join(large, ["root", "part"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    homes = homes.withColumn("owner", F.when(F.col("own"), F.col("part")).otherwise(0)).join(owners, ["root", "own", "owner"])
+    homes = homes.select("node", "root", F.struct("own", "owner", F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("k")).alias("home"))
+    blocks = owners.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct("own", "owner", k.alias("k")))).alias("home"))
+    every = blocks.groupBy("root").agg(F.collect_list("home").alias("homes"))  # a block for LARGE_BLOCK texts
+    apart = lambda x, y: ~(x["own"] & y["own"] & (x["owner"] == y["owner"]))
+    meets = blocks.join(every, "root").select("root", "home", F.explode(F.filter("homes", lambda y: apart(F.col("home"), y))).alias("to"))
+    dealt = homes.join(meets, ["root", "home"]).select("node", "root", "home", F.least("home", "to").alias("x"), F.greatest("home", "to").alias("y"))
+    dealt = dealt.join(texts, "node").select("node", "text", "root", "x", "y", (F.col("home") == F.col("x")).alias("left"))
 
     def link(key, table):
-        node, home = table.column("node").to_numpy(), table.column("home").to_numpy()
+        node, left = table.column("node").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
         sets = [shingles(t.as_py()) for t in table.column("text")]
-        one, two = np.flatnonzero(home == key[1].as_py()), np.flatnonzero(home == key[2].as_py())
-        same = key[1].as_py() == key[2].as_py()
+        one, two = np.flatnonzero(left), np.flatnonzero(~left)
+        same = key[1] == key[2]
         a, b = block_links([sets[k] for k in one], None if same else [sets[k] for k in two])
         node = node[one] if same else node[np.concatenate([one, two])]
         return pa.table({"a": node[a], "b": node[b]})
@@ -148,19 +178,11 @@ def group_links(stars: DataFrame, texts_of) -> DataFrame:
     return dealt.groupBy("root", "x", "y").applyInArrow(link, "a long, b long")
 
 
-def near_links(marked: DataFrame, one: DataFrame, few: int = FEW) -> DataFrame:
-    """Links (a, b) whose components are those of all near pairs.
-
-    ``marked``: row, node, text; ``one``: a row number for each node.
-    """
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        """(node, text) of distinct nodes; row numbers differ, so copies don't meet in one task."""
-        rows = one.join(nodes, "node", "left_semi").select("row")
-        return marked.join(rows, "row", "left_semi").select("node", "text")
-
-    texts = texts_of(one.select("node"))
-    common = marked.sparkSession.sparkContext.broadcast(common_shingles(texts, one.count()))
+def near_links(one: DataFrame, texts: DataFrame, few: int = FEW) -> DataFrame:
+    """Links (a, b) whose components are those of all near pairs; ``one``: node, fp; ``texts``: node, text."""
+    checked = index_links(one, texts)
+    settled = components(checked)
+    common = one.sparkSession.sparkContext.broadcast(common_shingles(texts, one.count()))
 
     def first(batches):
         for batch in batches:
@@ -171,26 +193,31 @@ def near_links(marked: DataFrame, one: DataFrame, few: int = FEW) -> DataFrame:
 
     postings = staged(texts.mapInArrow(first, "token long, node long, size int"), "near-postings")
     shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    open_ = staged(postings.join(shared, "token"), "near-shared")
+    known = settled.select("node", F.col("root").alias("part"))
+    open_ = postings.join(shared, "token").join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    open_ = staged(open_, "near-shared")
     cold = open_.where(F.col("n") <= few)
-    a, b = cold.select("token", F.col("node").alias("a"), F.col("size").alias("size_a")), cold.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"))
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (WHOLE * F.least("size_a", "size_b") >= SHARE * F.greatest("size_a", "size_b"))).select("a", "b").distinct()
+    a, b = (cold.select("token", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
+    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (WHOLE * F.least("size_a", "size_b") >= SHARE * F.greatest("size_a", "size_b"))).select("a", "b").distinct()
     stars = open_.where(F.col("n") > few).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return pair_links(pairs, texts_of).unionByName(group_links(stars, texts_of))
+    return checked.unionByName(pair_links(pairs, texts)).unionByName(group_links(stars, settled, texts))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep of each group of near copies the document with the smallest id, with all columns of ``docs``.
+    """Keep of each group of near copies the document with the smallest id, with all columns of ``docs``, whatever their names.
 
     Groups are the components of all pairs whose sets of five-word shingles have a
-    Jaccard index of 0.8 or more. Texts without words are copies of each other. A null
-    id counts as larger than any. Rows that share id and shingle set are one document: the
-    first of them stays.
+    Jaccard index of 0.8 or more. Null texts and texts without words are copies of each other. A null
+    id counts as larger than any. Of rows that share id and shingle set one stays. No rows: no rows.
     """
     mark, row = fresh(docs, "near_set", "near_row")
-    marked = docs.withColumn(mark, set_udf()(F.col(text_col))).withColumn(row, F.monotonically_increasing_id())
+    marked = docs.withColumns({mark: set_udf()(F.col(text_col)), row: F.monotonically_increasing_id()})
     marked = staged(python_ready(marked), "near-docs")
-    plain = marked.select(F.col(row).alias("row"), F.col(mark).alias("node"), F.col(text_col).alias("text"))
-    one = staged(marked.groupBy(F.col(mark).alias("node")).agg(F.min(row).alias("row"), F.min(id_col).alias("low")), "near-sets")
-    links = near_links(plain, one.select("node", "row"))
-    return keep_first(marked, grouped(one.select(F.col("node").alias("fp"), "low"), links), mark, id_col).drop(row)
+    plain = marked.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(mark)["node"].alias("fp"))
+    one = marked.groupBy(F.col(mark)["node"].alias("node")).agg(F.min(row).alias("row"), F.min(id_col).alias("low"), F.min(F.col(mark)["fp"]).alias("fp"), F.count("*").alias("n"))
+    one = staged(one, "near-sets")
+    # row numbers differ, so copies don't meet in one task
+    texts = marked.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(one.select("row", "node"), "row").select("node", "text")
+    links = near_links(one.select("node", "fp"), staged(texts, "near-all-texts"))
+    groups = grouped(one.select(F.col("node").alias("fp"), "low", "n"), links)
+    return keep_first(marked, plain, groups, row).drop(mark, row)

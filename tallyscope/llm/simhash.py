@@ -7,53 +7,58 @@ more places than allowed leaves the whole run; one whose shared differences
 and all open bits together stay within the limit links the whole run. Runs nest,
 so differences are found once for many fingerprints.
 
-Across the cluster, ranges of Gray rank are partitions, each partition's top
-nodes are the upper index, and a fingerprint goes as a query to those later
-partitions whose top nodes it can't leave. Within a task, links join a
-union-find and only a spanning forest comes out, so a group of n near copies gives
-n rows, not n squared.
+Across the cluster, two fingerprints within three bits are equal in one of four blocks
+of 16 bits. Each block in turn is rotated to the front and rotated fingerprints are cut, in
+Gray order, into runs that keep a block's equals together; a run is a task's, with an
+index of its own. So a fingerprint is sent four times, however many there are. Within a task,
+links join a union-find and only a spanning forest comes out, so a group of n near
+copies gives n rows, not n squared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import fresh, python_ready, staged
+from .common import fresh, python_ready, spread_join, staged
 from .components import components
+from .held import release
 
 SEED = 42
 BITS = 64
 FAN = 8
-#: Fingerprints of one range partition; memory of a task follows it.
-PER_PART = 65_536
+#: Fingerprints of one run; time and memory of a task follow it, up to twice of it.
+PER_PART = 16_384
 LEAST_PARTS = 16
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the shingles of A-Z-lowered words, repeats included; fewer words are one shingle, none give none."""
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    grams = (b" ".join(x) for x in zip(*(w[k:] for k in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
+    return np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+
+
 def fingerprint_udf(shingle: int = 3):
     """Arrow function: whole text to its 64-bit fingerprint, as a signed long.
 
     Words are those of A-Z-lowered text; shingles of ``shingle`` words keep
     repeats; fewer words are one shingle, none give 0. Null is as empty.
     """
-    from pyspark.sql.functions import arrow_udf
 
     def run(batches):
-        from xxhash import xxh64_intdigest
-
+        release()
         for column in batches:
-            out = np.zeros(len(column), np.uint64)
-            for i, text in enumerate(column):
-                w = (text.as_py() or "").encode().lower().split()
-                if not w:
-                    continue
-                grams = [b" ".join(x) for x in zip(*(w[k:] for k in range(shingle)))] if len(w) >= shingle else [b" ".join(w)]
-                out[i] = combine(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64))
-            yield pa.array(out.view(np.int64))
-
-    from collections.abc import Iterator
+            yield pa.array(np.array([combine(shingle_hashes(t.as_py(), shingle)) for t in column], np.uint64).view(np.int64))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return arrow_udf(run, "long").asNondeterministic()  # so that it's never run twice for a row
@@ -75,13 +80,6 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gray_rank_column(fp):
-    """The same for a signed long column, as a long whose signed order is the rank's."""
-    for s in (1, 2, 4, 8, 16, 32):
-        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
-    return fp.bitwiseXOR(F.lit(-(2**63)))
-
-
 class GrayIndex:
     """Levels of (mask, pattern) over sorted fingerprints; level 0 has single ones, each further one runs of FAN."""
 
@@ -188,11 +186,11 @@ def join_indexes(x: GrayIndex, y: GrayIndex, forest: Forest, y0: int, limit: int
                 work.append((level - 1, below_x[r, u, 0], below_y[r, 0, v]))
 
 
-def local_links(own: np.ndarray, guests: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links own-own and own-guest, as pairs of fingerprints."""
+def local_links(own: np.ndarray, guests: np.ndarray, limit: int, within: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links own-own (if ``within``) and own-guest, as pairs of fingerprints."""
     index = GrayIndex(own)
     everyone, forest = index.fps, Forest(len(own) + len(guests))
-    if len(own):
+    if len(own) and within:
         join_indexes(index, index, forest, 0, limit)
     if len(own) and len(guests):
         other = GrayIndex(guests)
@@ -203,98 +201,108 @@ def local_links(own: np.ndarray, guests: np.ndarray, limit: int) -> tuple[np.nda
     return everyone[linked], everyone[root[linked]]
 
 
+def gray_column(x, bits: int):
+    """Place of the lowest ``bits`` bits of a column in Gray order."""
+    s = 1
+    while s < bits:
+        x, s = x.bitwiseXOR(F.shiftrightunsigned(x, s)), 2 * s
+    return x
+
+
+def runs(fps: DataFrame, limit: int, per_part: int) -> DataFrame:
+    """(turn, run, x, y, part, fp) for each fingerprint and turn: its run and, in runs of one heavy block, each pair of parts it is in.
+
+    Every pair within ``limit`` bits is in one run at least. A block's number of fingerprints is all that
+    is looked at: at most (limit + 1) * 65,536 rows at three bits, whatever the table's size, so they are broadcast.
+    """
+    n_blocks = limit + 1
+    size = BITS // n_blocks
+    width = min(size, 16)
+    blocks = F.array(*[F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(F.shiftleft("fp", k * size), BITS - width).alias("block")) for k in range(n_blocks)])
+    each = fps.select("fp", F.inline(blocks))
+    counts = each.groupBy("turn", "block").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("turn").orderBy(gray_column(F.col("block"), width))
+    heavy = F.col("n") > 2 * per_part
+    # a heavy block is a run of its own; between them, others share runs by the number before them
+    before = F.coalesce(F.sum(F.when(~heavy, F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.when(heavy, -1 - F.col("block")).otherwise(F.floor(before / per_part))
+    parts = F.when(heavy, F.ceil(F.col("n") / per_part)).otherwise(1).cast("int")
+    placed = each.join(F.broadcast(counts.select("turn", "block", run.alias("run"), parts.alias("parts"))), ["turn", "block"])
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).select("turn", "run", "part", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
+    return placed.select("turn", "run", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "fp")
+
+
 def near_links(fps: DataFrame, limit: int = 3, per_part: int = PER_PART) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``fps`` (distinct longs in column fp) within ``limit`` bits.
 
-    The number of range partitions follows the number of fingerprints. The driver
-    sees their cuts and top nodes, a few numbers each.
+    The number of tasks follows the number of fingerprints, which is all that the driver sees.
     """
-    spark = python_ready(fps).sparkSession
-    ranked = staged(fps.select("fp", gray_rank_column(F.col("fp")).alias("rank")), "simhash-ranks")
-    total = ranked.count()
-    n = max(LEAST_PARTS, -(-total // per_part))
-    cuts = ranked.agg(F.percentile_approx("rank", [k / n for k in range(1, n)], 100 * n).alias("c")).first().c or []
-    bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.int64)))
-
-    def place(batches):
-        for batch in batches:
-            part = np.searchsorted(bounds.value, batch.column(1).to_numpy(), "right")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32))], ["fp", "part"])
-
-    placed = staged(ranked.mapInArrow(place, "fp long, part int"), "simhash-parts")
-    # the top of each partition's index: bits that all of an eighth of it share, by ranges of rank
-    tops = placed.groupBy("part", (F.shiftrightunsigned(gray_rank_column(F.col("fp")).bitwiseXOR(F.lit(-(2**63))), BITS - 12)).alias("run"))
-    tops = tops.agg(F.bit_and("fp").alias("all_and"), F.bit_or("fp").alias("all_or")).collect()
-    top = np.array([(t.part, t.all_and, t.all_or) for t in tops], np.int64).reshape(-1, 3)
-    upper = spark.sparkContext.broadcast((top[:, 0], ~(top[:, 1] ^ top[:, 2]).view(np.uint64), top[:, 1].view(np.uint64)))
-
-    def route(batches):
-        parts, mask, pattern = upper.value
-        for batch in batches:
-            fp, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a in range(0, len(fp), 1024):
-                x, home = fp[a : a + 1024], own[a : a + 1024]
-                near = np.bitwise_count((x.view(np.uint64)[:, None] ^ pattern) & mask) <= limit
-                who, node = np.nonzero(near)
-                pairs = np.unique(np.stack([who, parts[node]], 1), axis=0)
-                who, to = pairs[pairs[:, 1] > home[pairs[:, 0]]].T
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, x[who]])), pa.array(np.concatenate([home, to]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(x), bool), np.ones(len(who), bool)]))], ["fp", "part", "guest"])
+    total = python_ready(fps).count()
+    tasks = max(LEAST_PARTS, -(-(limit + 1) * total // per_part))
+    turn_size = BITS // (limit + 1)
 
     def link(key, table):
-        fp, guest = table.column("fp").to_numpy().view(np.uint64), table.column("guest").to_numpy()
-        a, b = local_links(fp[~guest], fp[guest], limit)
+        turn, _, x, y = (k.as_py() for k in key)
+        fp, part = table.column("fp").to_numpy().view(np.uint64), table.column("part").to_numpy()
+        left, right = np.uint64(turn * turn_size), np.uint64((BITS - turn * turn_size) % BITS)
+        turned = fp << left | fp >> right if turn else fp
+        a, b = local_links(turned[part == x], turned[part == y] if x != y else turned[:0], limit, x == y)
+        a, b = ((v >> left | v << right) if turn else v for v in (a, b))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return placed.mapInArrow(route, "fp long, part int, guest boolean").groupBy("part").applyInArrow(link, "a long, b long")
+    keys = ["turn", "run", "x", "y"]
+    return runs(fps.select("fp"), limit, per_part).repartition(tasks, *keys).groupBy(*keys).applyInArrow(link, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, limit: int = 3, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
-    """(fp, root, component_id) for each distinct fingerprint; docs has ids and fingerprints.
+    """(fp, n, root, component_id) for each distinct fingerprint, n rows having it; docs has ids and fingerprints.
 
     Exact copies share a fingerprint and are one node, so they cost one row of
     a combined aggregate. ``component_id`` is the smallest id in reach; null if all
-    ids in reach are null.
+    ids in reach are null. Null fingerprints are left out. No rows: no rows.
     """
-    distinct = staged(docs.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("low")), "simhash")
+    distinct = staged(docs.where(F.col(fp_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "simhash")
     return grouped(distinct, near_links(distinct, limit))
 
 
 def grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for each row of ``distinct`` (fp, and low: its smallest id), joined by ``links`` (a, b)."""
+    """(fp, n, root, component_id) for each row of ``distinct`` (fp, n, and low: its smallest id), joined by ``links`` (a, b)."""
     roots = components(links)
-    noted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = noted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return noted.join(lows, "root").select("fp", "root", "component_id")
+    noted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    sums = noted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    return staged(spread_join(noted, sums, "root", "members", distinct.count()).select("fp", "n", "root", "component_id"), "simhash-groups")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
-    Null or blank texts have fingerprint zero and link like any other. Equal rows
-    each get a row. No rows: no rows.
+    Null or blank texts have fingerprint zero and link like any other; a null id counts as larger
+    than any. Texts of any length are hashed whole. Equal rows each get a row. No rows: no rows. Other columns
+    are left out, so no name can clash.
     """
     marked = staged(python_ready(docs).select(F.col(id_col).alias("doc_id"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp")), "simhash-docs")
     groups = near_duplicate_groups(marked, limit)
-    return marked.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(marked, groups, "fp", "n", marked.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
-    """Keep of each group the document with the smallest id, with all columns of ``docs``.
+    """Keep of each group the document with the smallest id, with all columns of ``docs``, whatever their names.
+
+    A null id counts as larger than any; null and blank texts are copies of each other. Of rows that share id
+    and fingerprint one stays. No rows: no rows.
+    """
+    mark, row = fresh(docs, "simhash_fp", "simhash_row")
+    marked = staged(python_ready(docs).withColumns({mark: fingerprint_udf(shingle)(F.col(text_col)), row: F.monotonically_increasing_id()}), "simhash-docs")
+    plain = marked.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(mark).alias("fp"))
+    return keep_first(marked, plain, near_duplicate_groups(plain, limit, "id"), row).drop(mark, row)
+
+
+def keep_first(marked: DataFrame, plain: DataFrame, groups: DataFrame, row: str) -> DataFrame:
+    """Rows of ``marked`` that stand for their group: of ``plain`` (row, id, fp) the least id, fingerprint and row.
 
-    A null id counts as larger than any. Rows that share id and fingerprint are one
-    document: the first of them stays.
+    Only numbers are grouped; the documents themselves are shuffled once, by row.
     """
-    (mark,) = fresh(docs, "simhash_fp")
-    marked = staged(python_ready(docs).withColumn(mark, fingerprint_udf(shingle)(F.col(text_col))), "simhash-docs")
-    groups = near_duplicate_groups(marked.select(F.col(id_col).alias("id"), F.col(mark).alias("fp")), limit, "id", "fp")
-    return keep_first(marked, groups, mark, id_col)
-
-
-def keep_first(marked: DataFrame, groups: DataFrame, mark: str, id_col: str) -> DataFrame:
-    """Rows of ``marked``, without column ``mark``, that stand for their group of fingerprints."""
-    held = marked.select(F.col(id_col).alias("keep_id"), F.col(mark).alias("fp")).join(groups, "fp")
-    # the smallest fingerprint among those of the smallest id stands for the group
-    keep = held.where(F.col("keep_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("keep_fp"), F.first("component_id").alias("keep_id"))
-    keep = keep.select("keep_id", "keep_fp")
-    out = marked.join(keep, (F.col(mark) == F.col("keep_fp")) & F.col(id_col).eqNullSafe(F.col("keep_id")), "left_semi")
-    return out.dropDuplicates([id_col, mark]).drop(mark)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "row"))
+    kept = spread_join(plain, groups, "fp", "n", plain.count()).groupBy("root").agg(first.alias("first"))
+    # the column's name is the table's own, so that no other can be meant
+    return marked.join(kept.select(F.col("first.row").alias(row)), row, "left_semi")

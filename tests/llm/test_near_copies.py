@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyscope.llm import near_copies
@@ -85,7 +86,7 @@ def test_tables(spark):
 
 def test_null_ids_and_clashing_columns(spark):
     rows = [(None, "a b c d e f", 1), (5, "A b c d e f", 2), (5, "a b c d e f", 3), (None, "other words", 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, near_set int").withColumnRenamed("near_set", "NEAR_ROW")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_set int").withColumnRenamed("near_set", "NEAR_ROW").withColumn("a.b", F.lit(1)).withColumn("keep_id", F.lit(2)).withColumn("first", F.lit(3))
     got = near_copies.drop_near_copies(docs).collect()
     assert sorted(str(r.doc_id) for r in got) == ["5", "None"] and {r.NEAR_ROW for r in got} in ({2, 4}, {3, 4})
 

@@ -504,5 +504,30 @@ def test_token_counts_ties_and_unknowns():
             assert count(text) == len(ids), (pieces, text)
 
 
-def test_columns_that_clash_do_not_matter(docs):
-    assert simhash.drop_near_duplicates(docs.withColumn("simhash_fp", F.lit("x"))).columns[-1] == "simhash_fp"
+HELPERS = (
+    "simhash_fp simhash_row keep_fp keep_id near_set near_row fp low root node row id text2 first n plan_rate plan_part plan_source mix_row mix_facts mix_source size source_size target copies rate start part at range "
+    "language toxic_score component_id source.x a.b doc id"
+).split(" ")
+
+
+@pytest.mark.parametrize("name", ["near", "simhash", "mix", "civil", "identified"])
+def test_columns_of_any_name(spark, name):
+    """Filters and the mix with columns named like every helper, names with dots, nulls, repeated rows, a long text, no rows."""
+    from tallyscope.llm import near_copies
+
+    parts = {"en": "the and ing tion er of", "fr": "eau que ment les ouï ère"}
+    rows = [(k, prose(k, 20, parts[lang]) + (" vexor vexum" if k % 3 == 0 else ""), lang, "ab"[k % 2]) for k in range(60) for lang in [("en", "fr")[k % 2]]]
+    rows += [rows[0], rows[0], (None, None, None, None), (70, "", None, "a"), (71, prose(3, 400_000), "en", "b"), (None, "null id here", "en", None)]
+    extra = {c: F.lit(7) for c in HELPERS if c not in ("id",)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns(extra)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    apply = {
+        "near": near_copies.drop_near_copies, "simhash": simhash.drop_near_duplicates, "mix": lambda d: mixing.mix(d)[0],
+        "civil": lambda d: toxicity.keep_civil(d, docs, labels), "identified": lambda d: language_id.keep_identified(d, docs, path),
+    }[name]
+    got = apply(docs)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    held = multiset(tuple(r)[: len(docs.columns)] for r in got.collect())
+    assert held and held <= multiset(map(tuple, docs.collect()))
+    assert apply(docs.limit(0)).count() == 0

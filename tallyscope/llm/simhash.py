@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -201,33 +201,28 @@ def local_links(own: np.ndarray, guests: np.ndarray, limit: int, within: bool =
     return everyone[linked], everyone[root[linked]]
 
 
-def gray_column(x, bits: int):
-    """Place of the lowest ``bits`` bits of a column in Gray order."""
-    s = 1
-    while s < bits:
-        x, s = x.bitwiseXOR(F.shiftrightunsigned(x, s)), 2 * s
-    return x
-
-
-def runs(fps: DataFrame, limit: int, per_part: int) -> DataFrame:
-    """(turn, run, x, y, part, fp) for each fingerprint and turn: its run and, in runs of one heavy block, each pair of parts it is in.
+def runs(fps: DataFrame, total: int, limit: int, per_part: int) -> DataFrame:
+    """(turn, run, x, y, part, fp) for each of ``total`` fingerprints and turn: its run and, in runs of one heavy block, each pair of parts it is in.
 
-    Every pair within ``limit`` bits is in one run at least. A block's number of fingerprints is all that
-    is looked at: at most (limit + 1) * 65,536 rows at three bits, whatever the table's size, so they are broadcast.
+    Every pair within ``limit`` bits is in one run at least. A run has the codes whose block begins alike,
+    which are side by side in Gray order, and how many bits that is follows the table's size. A run of twice
+    too many is cut by whole blocks, and a block of twice too many in parts. A block's number of
+    fingerprints is all that is looked at: at most (limit + 1) * 65,536 rows, whatever the table's
+    size, so they are broadcast.
     """
-    n_blocks = limit + 1
-    size = BITS // n_blocks
-    width = min(size, 16)
-    blocks = F.array(*[F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(F.shiftleft("fp", k * size), BITS - width).alias("block")) for k in range(n_blocks)])
+    bits = max(0, -(-total // per_part) - 1).bit_length()
+    n_turns = limit + 1 if bits else 1
+    size, width = BITS // (limit + 1), min(BITS // (limit + 1), 16)
+    bits = min(bits, width)
+    blocks = F.array(*[F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(F.shiftleft("fp", k * size), BITS - width).alias("block")) for k in range(n_turns)])
     each = fps.select("fp", F.inline(blocks))
-    counts = each.groupBy("turn", "block").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("turn").orderBy(gray_column(F.col("block"), width))
-    heavy = F.col("n") > 2 * per_part
-    # a heavy block is a run of its own; between them, others share runs by the number before them
-    before = F.coalesce(F.sum(F.when(~heavy, F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    run = F.when(heavy, -1 - F.col("block")).otherwise(F.floor(before / per_part))
-    parts = F.when(heavy, F.ceil(F.col("n") / per_part)).otherwise(1).cast("int")
-    placed = each.join(F.broadcast(counts.select("turn", "block", run.alias("run"), parts.alias("parts"))), ["turn", "block"])
+    counts = each.groupBy("turn", "block").agg(F.count("*").alias("n")).withColumn("begin", F.shiftright("block", width - bits))
+    sums = counts.groupBy("turn", "begin").agg(F.sum("n").alias("whole"))
+    cut = F.col("whole") > 2 * per_part
+    run = F.when(cut, -1 - F.col("block")).otherwise(F.col("begin"))
+    parts = F.when(cut & (F.col("n") > 2 * per_part), F.ceil(F.col("n") / per_part)).otherwise(1).cast("int")
+    found = counts.join(F.broadcast(sums), ["turn", "begin"]).select("turn", "block", run.alias("run"), parts.alias("parts"))
+    placed = each.join(F.broadcast(found), ["turn", "block"])
     placed = placed.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).select("turn", "run", "part", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
     return placed.select("turn", "run", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "fp")
 
@@ -251,7 +246,7 @@ def near_links(fps: DataFrame, limit: int = 3, per_part: int = PER_PART) -> Data
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     keys = ["turn", "run", "x", "y"]
-    return runs(fps.select("fp"), limit, per_part).repartition(tasks, *keys).groupBy(*keys).applyInArrow(link, "a long, b long")
+    return runs(fps.select("fp"), total, limit, per_part).repartition(tasks, *keys).groupBy(*keys).applyInArrow(link, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, limit: int = 3, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:

@@ -74,7 +74,7 @@ def test_quality_counts(docs, empty):
         n = len(w)
         want.append((i, n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside), n < 10 or 100 * len(inside) > 20 * n))
     got = quality_rules.host_quality(docs)
-    assert multiset(map(tuple, got.drop("kept").collect())) == multiset(want)
+    assert multiset(map(tuple, got.drop("kept", "host_rate").collect())) == multiset(want)
     assert quality_rules.host_quality(empty).count() == 0
 
 
@@ -338,7 +338,7 @@ def test_simhash_sends_a_fingerprint_as_often_at_any_size(spark):
     rng = np.random.default_rng(6)
     for n in (2000, 8000, 32_000):
         frame = spark.createDataFrame([(int(x),) for x in rng.integers(-(2**63), 2**63, n)], "fp long")
-        sent = simhash.runs(frame, 3, 500).groupBy("turn", "run", "x", "y").count().collect()
+        sent = simhash.runs(frame, n, 3, 500).groupBy("turn", "run", "x", "y").count().collect()
         assert sum(r["count"] for r in sent) == 4 * n and max(r["count"] for r in sent) <= 1100
 
 
@@ -347,7 +347,7 @@ def test_simhash_heavy_blocks_are_split(spark):
     near = np.uint64(0x0123456789ABCDEF) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(600)], np.uint64)
     fps = np.unique(near)
     frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    sent = simhash.runs(frame, 3, 40).groupBy("turn", "run", "x", "y").count().collect()
+    sent = simhash.runs(frame, len(fps), 3, 40).groupBy("turn", "run", "x", "y").count().collect()
     assert max(r["count"] for r in sent) < 200 and any(r.x != r.y for r in sent)
     place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
     got, want = simhash.Forest(len(fps)), simhash.Forest(len(fps))
@@ -357,9 +357,10 @@ def test_simhash_heavy_blocks_are_split(spark):
     assert (got.settle() == want.settle()).all() and len(set(want.settle())) > 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [1_000_000, 30])
+def test_components(spark, per_task):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, 5), (7, 3), (3, 9), (9, 7)] + [(1000, k) for k in range(1001, 1100)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), per_task).collect()}
     assert all(got[k] == 100 for k in range(101, 161)) and got[7] == got[9] == 3 and got[1099] == 1000
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 

@@ -17,10 +17,10 @@ j AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lin
 h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM j WHERE source IS NOT NULL GROUP BY source),
 mv AS (SELECT coalesce(avg(f / n), 0) AS m, coalesce(var_samp(f / n), 0) AS v FROM h),
 st AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 10.0 END AS s FROM mv),
-bad AS (SELECT source FROM h, st WHERE (f + m * s) / (n + s) > 0.5)
+r AS (SELECT source, (f + m * s) / (n + s) AS rate FROM h, st)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-    n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND bad.source IS NULL AS kept
-FROM j LEFT JOIN bad ON j.source = bad.source
+    n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(rate, 0) <= 0.5 AS kept, round(rate, 6) AS host_rate
+FROM j LEFT JOIN r ON j.source = r.source
 """
 
 OP4 = r"""

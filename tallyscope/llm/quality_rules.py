@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, staged, words
+from .common import SPACES, let, spread_join, staged, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -60,7 +60,7 @@ def host_quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_words: int = 10, max_repeat_pct: int = 20, max_symbol_pct: int = 10, max_dup_line_pct: int = 30, max_host_rate: float = 0.5,
 ) -> DataFrame:
-    """Document counts, rule verdicts and the host's verdict.
+    """Document counts, rule verdicts and the host's verdict, with the host's shrunken failure rate to six digits.
 
     A document fails its host's tally if it fails the base rule (too few words
     or too many repeated ones), has more than ``max_symbol_pct`` symbols per 100
@@ -83,8 +83,11 @@ def host_quality(
     m, v = (0.0 if seen.m is None else seen.m), (seen.v or 0.0)
     strength = m * (1 - m) / v - 1 if v > 0 else DEFAULT_STRENGTH
     strength = strength if strength > 0 else DEFAULT_STRENGTH
-    bad = hosts.select("host", ((F.col("f") + m * strength) / (F.col("n") + strength)).alias("host_rate")).where(F.col("host_rate") > max_host_rate)
-    return judged.join(bad, "host", "left").select(
+    rates = hosts.select("host", "n", ((F.col("f") + m * strength) / (F.col("n") + strength)).alias("host_rate"))
+    # a host with a thousandth of all documents or more is met by a broadcast
+    known = spread_join(judged.where("host IS NOT NULL"), rates, "host", "n", judged.count())
+    out = known.select(*judged.columns, "host_rate").unionByName(judged.where("host IS NULL").withColumn("host_rate", F.lit(None).cast("double")))
+    return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("host_rate").isNull()).alias("kept"),
+        (~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)).alias("kept"), F.round("host_rate", 6).alias("host_rate"),
     )

@@ -10,6 +10,7 @@ prefix sums of their ids, documents and null document ids.
 from __future__ import annotations
 
 import json
+import os
 import sys
 import zlib
 from dataclasses import asdict, dataclass
@@ -25,6 +26,9 @@ from .common import python_ready
 from .encoding import encoder, slices
 
 MANIFEST = "manifest.json"
+#: Text of one shard; how many shards there are follows the table's size.
+SHARD_BYTES = 16 << 20
+LEAST_SHARDS = 16
 
 
 @dataclass(frozen=True)
@@ -48,7 +52,7 @@ def filesystem(uri: str):
     return found, path, False
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", drops_spaces: bool = False, dtype: str = "<u2") -> list[Shard]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", drops_spaces: bool = False, dtype: str = "<u2", shard_bytes: int = SHARD_BYTES) -> list[Shard]:
     """Encode whole texts in ascending id order, end each with ``end_id``, and write the files.
 
     Documents are dealt to range partitions of their id; each task streams
@@ -87,7 +91,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     files, root, _ = filesystem(folder)
     files.create_dir(root, recursive=True)
-    placed = python_ready(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = python_ready(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    placed = rows.repartitionByRange(max(LEAST_SHARDS, -(-size // shard_bytes)), "id").sortWithinPartitions("id", "text")
     rows = placed.mapInArrow(write, "part long, name string, n_docs long, n_tokens long, n_null long").collect()
     shards, base = [], 0
     for r in sorted(rows, key=lambda r: r.part):
@@ -98,20 +104,26 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     return shards
 
 
-def open_array(files, path: str, local: bool, dtype: str):
-    """A memory map where the file is local; elsewhere its bytes."""
-    if local:
-        import os
+class Ranges:
+    """A file of numbers by slices: a memory map where the file is local; elsewhere each slice is read by itself."""
 
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with files.open_input_file(path) as f:
-        return np.frombuffer(f.read_buffer(), dtype)
+    def __init__(self, files, path: str, local: bool, dtype: str):
+        self.dtype = np.dtype(dtype)
+        if not local:
+            self.file = files.open_input_file(path)
+        self.map = (np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)) if local else None
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[at]
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((at.stop - at.start) * size, at.start * size), self.dtype)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document, read from the files alone: doc_id, start, n_tokens, ids_crc32.
 
-    Each shard is a task of its own; ids are mapped, not loaded, and the
+    Each shard is a task of its own; ids are mapped, or read by ranges where the file isn't local, and the
     checksum (of the ids as little-endian unsigned 32-bit integers) goes
     document by document.
     """
@@ -127,12 +139,13 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         files, root, local = filesystem(folder)
         for k in (k for batch in batches for k in batch.column(0).to_pylist()):
             s = shards[k]
-            tok, off, doc = (open_array(files, f"{root}/{s.name}.{x}", local, t) for x, t in (("tok", dtype), ("off", "<i8"), ("doc", "<i8")))
+            tok, off, doc = (Ranges(files, f"{root}/{s.name}.{x}", local, t) for x, t in (("tok", dtype), ("off", "<i8"), ("doc", "<i8")))
             for a in range(0, s.n_docs, 4096):
                 b = min(a + 4096, s.n_docs)
-                crc = [zlib.crc32(tok[off[i] : off[i + 1]].astype("<u4").tobytes()) for i in range(a, b)]
+                at = off[a : b + 1]
+                crc = [zlib.crc32(tok[int(i) : int(j)].astype("<u4").tobytes()) for i, j in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(doc[a:b]), pa.int64(), mask=np.arange(a, b) < s.n_null), pa.array(s.base + off[a:b]), pa.array(off[a + 1 : b + 1] - off[a:b]), pa.array(crc, pa.int64())],
+                    [pa.array(np.asarray(doc[a:b]), pa.int64(), mask=np.arange(a, b) < s.n_null), pa.array(s.base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

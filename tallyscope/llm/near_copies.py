@@ -34,7 +34,7 @@ SHINGLE = 5
 #: The least Jaccard index of near copies is 4 / 5, in whole numbers so that it's exact.
 SHARE, WHOLE = 4, 5
 #: About as many distinct texts show which shingles are common, found in as many of them.
-SAMPLE, COMMON = 20_000, 4
+SAMPLE, COMMON = 20_000, 2
 #: A shingle in more texts than this gives groups, not pairs.
 FEW = 32
 #: Texts of a block, and blocks of a group before blocks grow, up to the larger size.
@@ -81,13 +81,18 @@ def common_shingles(texts: DataFrame, total: int, sample: int = SAMPLE) -> tuple
     return token[order], n[order]
 
 
+def prefix_size(n):
+    """How many of the first of ``n`` shingles any near copy must share one of."""
+    return n * (WHOLE - SHARE) // WHOLE + 1
+
+
 def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first of a shingle set, by count in the sample and hash: as many as any near copy must share one of."""
+    """The first of a shingle set, by count in the sample and hash."""
     weight = np.zeros(len(found), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         weight = np.where(common[at] == found, counts[at], 0)
-    return found[np.lexsort((found, weight))[: len(found) * (WHOLE - SHARE) // WHOLE + 1]]
+    return found[np.lexsort((found, weight))[: prefix_size(len(found))]]
 
 
 def near(shared, a, b):
@@ -194,11 +199,18 @@ def near_links(one: DataFrame, texts: DataFrame, few: int = FEW) -> DataFrame:
     postings = staged(texts.mapInArrow(first, "token long, node long, size int"), "near-postings")
     shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
     known = settled.select("node", F.col("root").alias("part"))
-    open_ = postings.join(shared, "token").join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    open_ = staged(open_, "near-shared")
-    cold = open_.where(F.col("n") <= few)
-    a, b = (cold.select("token", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (WHOLE * F.least("size_a", "size_b") >= SHARE * F.greatest("size_a", "size_b"))).select("a", "b").distinct()
+    open_ = staged(postings.join(shared, "token"), "near-shared")
+    # how many of a text's first shingles are in many texts: as many as a pair may share besides those of few
+    held = open_.groupBy("node").agg(F.count_if(F.col("n") > few).alias("many"))
+    cold = open_.where(F.col("n") <= few).join(held, "node").join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    cold = cold.select("token", F.struct("node", "size", "many", "part").alias("x"))
+    both = cold.select("token", F.col("x").alias("a")).join(cold.select("token", F.col("x").alias("b")), "token")
+    both = both.where((F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & (WHOLE * F.least("a.size", "b.size") >= SHARE * F.greatest("a.size", "b.size")))
+    rest = lambda x: F.col(f"{x}.size") - F.expr(f"{x}.size * {WHOLE - SHARE} div {WHOLE}") - 1
+    most = F.count("*") + F.min(F.least("a.many", "b.many")) + F.min(F.greatest(rest("a"), rest("b")))
+    # the first shingles that both have, and all that may follow in the text whose first shingles end first
+    pairs = both.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(most.alias("most"), F.min(F.col("a.size") + F.col("b.size")).alias("sizes"))
+    pairs = pairs.where((WHOLE + SHARE) * F.col("most") >= SHARE * F.col("sizes")).select("a", "b")
     stars = open_.where(F.col("n") > few).select(F.col("node").alias("a"), F.col("low").alias("b"))
     return checked.unionByName(pair_links(pairs, texts)).unionByName(group_links(stars, settled, texts))
 

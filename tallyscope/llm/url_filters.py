@@ -2,17 +2,15 @@
 
 A host's canonical key is its labels in reverse, each followed by a dot, so a
 rule's host is a prefix of the keys of its subdomains, and a prefix is an
-interval of sorted keys; intervals of rules nest. Pages are dealt to ranges of
-(key, path, id) whose cuts come from the pages, so that a host with many
-pages is spread as well, and a rule goes to each range that its interval
-meets. In a range, sorted rules and pages are swept once with a stack of the rules
-that are active: those whose key is a prefix of the present one.
+interval of sorted keys; intervals of rules nest. Pages and rules are sorted together in
+range partitions of (key, path, id), so that a host with many pages is spread as well. The rules
+that are active where a range begins are those whose key is a prefix of its first page's key;
+the prefixes, a few for each range, meet the rules by an equi-join. In a range, rules and pages are
+swept once with a stack of the rules that are active: those whose key is a prefix of the present one.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,46 +78,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     part are left out; a repeated rule counts once, and as a block if the
     rules disagree. Equal rows each get a row. No pages: no rows; no rules: all default.
 
-    The driver sees one cut per range. Rules are neither broadcast nor collected:
-    each is copied to the ranges its host's interval meets, for a general rule all,
-    for others mostly one.
+    The driver sees the number of pages. Rules are neither broadcast nor collected:
+    each is carried to the ranges that its host's interval goes on in, for a general rule all,
+    for others mostly none.
     """
-    spark = pages.sparkSession
     cut = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     keyed = staged(cut.withColumn("key", host_key(F.col("host"))), "urls")
-    place = F.struct(F.col("key"), F.col("path"), F.col("page_id"))
     n = max(LEAST_RANGES, -(-keyed.count() // per_range))
-    # every key has the same chance to be a cut; about 64 candidates per range are sorted on the driver
-    total = n * 64
-    seen = keyed.select(place.alias("p"), F.xxhash64("key", "path", "page_id").alias("h")).orderBy("h").limit(total).select("p.*").collect()
-    found = sorted((r.key, r.path, -(2**63) if r.page_id is None else r.page_id) for r in seen)
-    bounds = sorted({found[k * len(found) // n] for k in range(1, n)}) if found else []
-    shared = spark.sparkContext.broadcast(bounds)
-
-    def to_range(batches):
-        cuts = shared.value
-        for batch in batches:
-            key, path, page = (batch.column(k).to_pylist() for k in ("key", "path", "page_id"))
-            part = [bisect_right(cuts, (k, p, -(2**63) if i is None else i)) for k, p, i in zip(key, path, page)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("page_id", "host", "path", "key")), pa.array([None] * len(part), pa.string()), pa.array([True] * len(part)), pa.array(part, pa.int64())], names)
-
-    def to_ranges(batches):
-        cuts = shared.value
-        for batch in batches:
-            rows = {k: [] for k in names}
-            for host, path, verdict, key in zip(*(batch.column(k).to_pylist() for k in ("host", "path", "verdict", "key"))):
-                # keys with this prefix: from (key,) to before its last character's successor
-                for part in range(bisect_left(cuts, (key,)), bisect_left(cuts, (key[:-1] + chr(ord(key[-1]) + 1),)) + 1):
-                    for k, v in zip(names, (None, host, path, key, verdict, False, part)):
-                        rows[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in zip(names, types)], names)
-
-    names = ["page_id", "host", "path", "key", "verdict", "page", "part"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
-    schema = "page_id long, host string, path string, key string, verdict string, page boolean, part long"
     lower = F.translate(F.col("host"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     listed = rules.select(lower.alias("host"), "path", "verdict").dropna().where("host <> ''").distinct().withColumn("key", host_key(F.col("host")))
-    both = python_ready(keyed).mapInArrow(to_range, schema).unionByName(python_ready(listed).mapInArrow(to_ranges, schema))
+    names = ["page_id", "host", "path", "key", "verdict", "page"]
+    both = keyed.withColumns({"verdict": F.lit(None).cast("string"), "page": F.lit(True)}).select(names)
+    both = both.unionByName(listed.withColumns({"page_id": F.lit(None).cast(dict(keyed.dtypes)["page_id"]), "page": F.lit(False)}).select(names))
+    placed = staged(both.repartitionByRange(n, "key", "page", "path", "page_id").withColumn("part", F.spark_partition_id()), "url-ranges")
+    parts = F.split("first", "\\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "."), F.lit(".")))
+    firsts = placed.where("page").groupBy("part").agg(F.min("key").alias("first")).where("first <> ''").select("part", F.explode(prefixes).alias("key"))
+    carried = placed.where("NOT page").drop("part").join(firsts, "key").select(*names, "part")
 
     def judge(key, batches):
         stream = ((b, row) for b in batches for row in zip(*(b.column(k).to_pylist() for k in ("key", "page", "host", "path", "verdict", "page_id"))))
@@ -148,5 +123,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         yield from judge(None, batches)
 
     # a stack that outlives a range's end only holds prefixes of the next key or is emptied by it
-    swept = both.repartition(n, "part").sortWithinPartitions("part", "key", "page")
+    swept = python_ready(placed.unionByName(carried)).repartition(n, "part").sortWithinPartitions("part", "key", "page")
     return swept.mapInArrow(judge_task, "page_id long, host string, path string, rule string, verdict string")

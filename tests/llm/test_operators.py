@@ -220,13 +220,35 @@ def test_fingerprints(docs, empty):
 
 def test_fingerprints_retry_larger(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "SPREAD", 0.2)  # too small at first: peeling has to fail and grow
-    sets = [(k, 0, list(range(k * 1000, k * 1000 + 90)), list(range(k * 1000 + 45, k * 1000 + 130))) for k in range(8)]
-    frame = spark.createDataFrame(sets, "uid long, pair int, a array<long>, b array<long>")
+    sets = [(k, 0, 20.0 * k, list(range(k * 1000, k * 1000 + 90)), list(range(k * 1000 + 45, k * 1000 + 130))) for k in range(8)]
+    frame = spark.createDataFrame(sets, "uid long, pair int, guess double, a array<long>, b array<long>")
     for tries in (8, 1):  # with a single try, the exact count has to step in
         got = fingerprints.differing(frame, tries=tries).collect()
         assert sorted((r.uid, r.differing) for r in got) == [(k, 85) for k in range(8)]
 
 
+def test_fingerprint_cells_subtract_and_peel(spark):
+    rng = random.Random(11)
+    sets = []
+    for k in range(300):
+        common = rng.sample(range(10**6), rng.randint(0, 400))
+        extra = rng.sample(range(10**6, 2 * 10**6), rng.choice((0, 1, 2, 3, 4, 5, 30, 300)))
+        cut = rng.randint(0, len(extra))
+        sets.append((k, common + extra[:cut], common + extra[cut:], len(extra)))
+    frame = spark.createDataFrame(sets, "k int, a array<long>, b array<long>, d int")
+    sub = fingerprints.subtracted(fingerprints.small_sketch(F.col("a")), fingerprints.small_sketch(F.col("b")))
+    got = frame.select("d", sub.alias("s")).select("d", fingerprints.peeled(F.col("s")).alias("found"), fingerprints.expected_difference(F.col("s")).alias("about"), "s").collect()
+    assert all(r.found in (None, r.d) for r in got) and all(r.found == r.d for r in got if r.d < 2)
+    assert sum(r.found == r.d for r in got if r.d in (2, 3, 4)) > 0.8 * sum(r.d in (2, 3, 4) for r in got)
+    assert all(r.found is None for r in got if r.d > 12)
+    for d in (30, 300):
+        about = [r.about for r in got if r.d == d]
+        assert 0.75 * d < sum(about) / len(about) < 1.25 * d
+    # the sketch is linear: a text's own sketch less nothing is its set
+    r = frame.where("k = 0").select(F.size("a").alias("n"), fingerprints.small_sketch(F.col("a")).alias("s")).first()
+    assert all(sum(x.n for x in r.s[t * 4 : t * 4 + 4]) == r.n for t in range(3))
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, capacity = Tokenizer.from_file(path), 256

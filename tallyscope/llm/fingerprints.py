@@ -58,16 +58,16 @@ def as_cell(n: Column, key: Column, check: Column) -> Column:
 def small_sketch(keys: Column) -> Column:
     """The fingerprint's own cells, an array of (n, key, check)."""
     zero = F.lit(0).cast("long")
+    marked = F.transform(keys, lambda k: F.struct(k.alias("key"), check_of(k).alias("check"), *[small_cell(k, t).alias(f"in{t}") for t in range(TABLES)]))
 
-    def cell(c: Column) -> Column:
-        own = F.filter(keys, lambda k: small_cell(k, F.floor(c / SMALL).cast("int")) == c)
-        return let(own, lambda own: as_cell(
+    def cell(marked: Column, c: int) -> Column:
+        return let(F.filter(marked, lambda x: x[f"in{c // SMALL}"] == c), lambda own: as_cell(
             F.size(own),
-            F.aggregate(own, zero, lambda a, k: a.bitwiseXOR(k)),
-            F.aggregate(own, zero, lambda a, k: a.bitwiseXOR(check_of(k))),
+            F.aggregate(own, zero, lambda a, x: a.bitwiseXOR(x["key"])),
+            F.aggregate(own, zero, lambda a, x: a.bitwiseXOR(x["check"])),
         ))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * SMALL - 1)), cell)
+    return let(marked, lambda marked: F.array(*[cell(marked, c) for c in range(TABLES * SMALL)]))
 
 
 def fingerprint_text(text: Column, keys: Column, cells: Column) -> Column:

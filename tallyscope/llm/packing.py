@@ -2,8 +2,10 @@
 
 A pattern is a few lengths that share a sequence. Non-negative least squares
 fits how often to repeat each pattern to the histogram of lengths; rounded
-repeats are packed as they are, and what the histogram has left goes to
-patterns made by best fit. Everything but the histogram stays distributed.
+repeats are packed as they are, the largest first, fractions below a half
+rounded up to one while their lengths last. What is left is fitted again a few
+times, then goes to patterns made by best fit: mostly short pieces, of which more than
+four fill a sequence. Everything but the histogram stays distributed.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .common import python_ready, staged
 from .encoding import encoder, slices
 
 Run = tuple[int, int, int, int, int]
+#: Fits at most; each is to what the ones before left. The first places nearly all that patterns can.
+FITS = 4
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", drops_spaces: bool = True) -> DataFrame:
@@ -150,21 +154,26 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[Run]:
     packed: list[tuple[tuple[int, ...], int]] = []
     if left.pop(capacity, 0):
         packed.append(((capacity,), counts[capacity]))
-    if left:
-        patterns = candidate_patterns(left, capacity)
-        repeats = np.rint(fit_repeats(patterns, left)).astype(np.int64)
+    for _ in range(FITS):
+        # a stand-in that fills too little waits for the residual
+        patterns = [p for p in candidate_patterns(left, capacity) if capacity - sum(p) <= capacity // 1024]
+        if not patterns:
+            break
+        repeats = fit_repeats(patterns, left)
+        before = len(packed)
         for k in np.argsort(-repeats, kind="stable"):
             if repeats[k] <= 0:
                 break
             p = patterns[k]
-            if capacity - sum(p) > capacity // 1024:  # a stand-in that fills too little waits for the residual
-                continue
-            times = min(int(repeats[k]), *(left.get(n, 0) // p.count(n) for n in p))
+            times = min(max(1, int(np.rint(repeats[k]))), *(left.get(n, 0) // p.count(n) for n in p))
             if times > 0:
                 packed.append((p, times))
                 for n in p:
                     left[n] -= times
-        packed += best_fit({n: c for n, c in left.items() if c}, capacity)
+        left = {n: c for n, c in left.items() if c}
+        if len(packed) == before:
+            break
+    packed += best_fit(left, capacity)
     used: dict[int, int] = {}
     runs, seq = [], 0
     for p, times in packed:

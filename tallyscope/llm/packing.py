@@ -23,7 +23,7 @@ from .common import python_ready, staged
 from .encoding import encoder, slices
 
 Run = tuple[int, int, int, int, int]
-#: Fits at most; each is to what the ones before left. The first places nearly all that patterns can.
+#: Fits at most; each is to what the ones before left.
 FITS = 4
 
 

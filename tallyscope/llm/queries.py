@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, mixing, packing, quality_rules, simhash, token_counts, token_files, toxicity, url_filters
+from . import chat_format, fingerprints, language_id, merkle, mixing, packing, quality_rules, simhash, token_counts, token_files, toxicity, url_filters, vector_codes
 from .common import new_path, table
 
 TOKEN_FILE_END = 2
@@ -60,4 +60,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_files, op4_url_filters, op5_fingerprints, op6_packing, op7_simhash, op8_mixing, op9_toxicity, op10_token_counts)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, text = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat_format.conversation_digests(chat_format.format_turns(turns.unionByName(own)))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", merkle.lower_cased(docs))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_files, op4_url_filters, op5_fingerprints, op6_packing, op7_simhash, op8_mixing, op9_toxicity, op10_token_counts, op11_chat_format, op12_merkle, op13_vector_codes)}

@@ -88,15 +88,12 @@ def main(args: list[str] | None = None) -> int:
         spark = SparkSession.builder.appName("tallyscope").getOrCreate()
         name = options.save or options.load
         log = os.path.join(home, "logs", f"{name}.txt") if name else None
-        older = None
-        if log and os.path.isfile(log):
-            with open(log, encoding="utf-8") as f:
-                older = f.read()
+        older = scan.read_log(spark, log, options.compare) if log and options.compare else None
         run = scan.scan(spark, options.dirs, languages, options)
         text, entry = scan.render(run, options, older)
         print(text)
         if options.log is not None and log:
-            scan.write_log(log, entry, options)
+            scan.write_log(spark, log, entry, options)
     except (ArgumentError, LanguageError, OSError, RuntimeError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import os
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from .stats import round_to
 
 SCHEMA = "name string, ts timestamp, files long, lines long, code_lines long, extra_lines long, bytes long, average_bytes long"
+#: A run in the log's table: its numbers, and its entry in the text form.
+LOGGED = f"{SCHEMA}, text string"
 COMPARED = ("files", "lines", "code_lines", "extra_lines")
 RULE = "-" * 92
 
@@ -20,7 +24,7 @@ LABELS = {"files": "Files:", "lines": "Lines:", "code_lines": "Code:", "extra_li
 def parse_log(log: DataFrame) -> DataFrame:
     """Entries of text logs: ``log`` has a column ``content``, a whole log per row, newest entry first.
 
-    Returns SCHEMA and ``place``, the entry's number in its log. An entry without an average size is
+    Returns LOGGED and ``place``, the entry's number in its log. An entry without an average size is
     incomplete and left out. Dates have offsets with or without a colon; one that can't be read is null.
     """
     entries = F.slice(F.split("content", r"(?m)^\s*===>"), F.lit(2), F.lit(2**31 - 1))
@@ -29,7 +33,7 @@ def parse_log(log: DataFrame) -> DataFrame:
     date = F.trim(F.regexp_extract("entry", r"^[^\n]*\n([^\n]*)", 1))
     stamp = F.coalesce(*[F.try_to_timestamp(date, F.lit(f"yyyy-MM-dd HH:mm:ss {z}")) for z in ("Z", "XXX")])
     numbers = [F.expr(f"try_cast(nullif(regexp_extract(entry, '(?m)^ *{label} *([0-9]+)', 1), '') AS BIGINT)").alias(c) for c, label in LABELS.items()]
-    return each.select("place", F.nullif(name, F.lit("")).alias("name"), stamp.alias("ts"), *numbers).where("average_bytes IS NOT NULL")
+    return each.select("place", F.nullif(name, F.lit("")).alias("name"), stamp.alias("ts"), *numbers, F.concat(F.lit("===>"), "entry").alias("text")).where("average_bytes IS NOT NULL")
 
 
 def latest(log: DataFrame, n: int) -> DataFrame:
@@ -71,9 +75,57 @@ def compare(log: DataFrame, current: DataFrame, n: int, now: Column) -> DataFram
     return joined.select("name", "ts", *age(F.col("ts"), now), *COMPARED, *[signed_percentage(F.col(c), F.col(f"now_{c}")).alias(f"{c}_pct") for c in COMPARED])
 
 
-def append_entry(spark: SparkSession, path: str, entry: dict) -> None:
-    """Add a run to the Parquet log; nothing that is there is rewritten."""
-    spark.createDataFrame([tuple(entry.get(c.split()[0]) for c in SCHEMA.split(", "))], SCHEMA).write.mode("append").parquet(path)
+def table_of(path: str) -> str:
+    """Where the runs of a text log are kept as a table."""
+    return os.path.splitext(path)[0] + ".runs"
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm.org.apache.hadoop.fs.Path
+
+
+def runs(spark: SparkSession, table: str) -> list[str]:
+    """Folders of the table's committed runs, newest first: their names begin with the time."""
+    files, where, _ = _files(spark, table)
+    if not files.exists(where):
+        return []
+    found = [x.getPath().getName() for x in files.listStatus(where)]
+    return sorted((x for x in found if x.startswith("run=")), reverse=True)
+
+
+def _commit(spark: SparkSession, table: str, rows: DataFrame, newest: datetime, mark: str) -> None:
+    """Write ``rows`` aside, under a name that readers pass over, and rename the folder: a run is there whole or not at all, whoever else writes."""
+    aside = f"{table}/_writing-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.parquet(aside)
+    files, where, path = _files(spark, aside)
+    stamp = newest.astimezone(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    if not files.rename(where, path(f"{table}/run={stamp}-{mark}")):
+        raise OSError(f"could not add a run to {table}")
+
+
+def append_entry(spark: SparkSession, table: str, entry: dict) -> None:
+    """Add a run (LOGGED) to the table; nothing that is there is read or rewritten, so any number of runs may do so at once."""
+    row = tuple(entry.get(c.split()[0]) for c in LOGGED.split(", "))
+    _commit(spark, table, spark.createDataFrame([row], LOGGED), entry["ts"], uuid.uuid4().hex[:12])
+
+
+def import_text(spark: SparkSession, table: str, text: str) -> None:
+    """Add the entries of a text log, as one folder named after the newest; a second writer's folder of that name ends up inside it, where readers pass it over."""
+    found = parse_log(spark.createDataFrame([(text,)], "content string"))
+    if first := found.agg(F.max(F.unix_timestamp("ts"))).first()[0]:
+        names = [c.split()[0] for c in LOGGED.split(", ")]
+        _commit(spark, table, found.select(*names), datetime.fromtimestamp(first, timezone.utc), "text")
+
+
+def read_runs(spark: SparkSession, table: str, n: int | None = None) -> DataFrame | None:
+    """The table's runs, or its ``n`` newest, for which only as many folders are opened; None if there is none."""
+    found = runs(spark, table)[:n]
+    if not found:
+        return None
+    rows = spark.read.schema(LOGGED).parquet(*[f"{table}/{x}" for x in found])
+    return rows if n is None else latest(rows, n)
 
 
 def entry_text(entry: dict, config: dict) -> str:

@@ -1,24 +1,26 @@
 """Line classification and keyword counts over files held in a DataFrame.
 
-Two strategies give the same rows. ``file_stats`` runs the lexer once per
-file: one narrow map, right for trees of many files. ``line_states`` lets many
-tasks share one huge file: what a line does to the lexer's state is a small
-array, and the state before each line is a prefix scan over these arrays.
+``file_stats`` runs the lexer once per file: one narrow map, right for trees of
+many files. ``range_stats`` lets many tasks share one huge file: each walks a
+range from every state it may begin in, and ranges compose. ``line_states`` asks the same of
+lines held as rows: what a line does to the state is a byte, and the state before each line a prefix scan over bytes.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import lexer
 from ..languages import Language
 from ..shipping import ship
+from ..sources.code_files import decode, read_range
+from ..staging import staged
 
 #: Trims the characters of Unicode's White_Space property.
 TRIM = r"(?U)^\s+|\s+$"
@@ -76,6 +78,48 @@ def file_stats(files: DataFrame, languages: dict[str, Language], braces_as_code:
     return kept.mapInArrow(run, schema)
 
 
+def range_stats(ranges: DataFrame, languages: dict[str, Language], braces_as_code: bool = False, keywords: bool = True) -> DataFrame:
+    """(path, language, bytes, error, lines, code_lines, counts) of files cut in ``file_ranges``: the rows of ``file_stats``, made by many tasks a file.
+
+    A task walks the lines of a range from each state they may begin in; what it finds is a small row, and a
+    file's rows are folded in order. A file of which any range can't be read or isn't UTF-8 has the first such error and no
+    counts. A path is one file, however often it is listed; unknown languages have null counts. No rows: no rows.
+    """
+    ship(ranges.sparkSession)
+    schema = "path string, language string, bytes long, start long, error string, lines long, after array<int>, code array<long>, counts array<array<long>>"
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                language, row = languages.get(r["language"]), {k: r[k] for k in ("path", "language", "bytes", "start")} | dict.fromkeys(("error", "lines", "after", "code", "counts"))
+                try:
+                    at, data = read_range(r["path"], r["start"], r["stop"])
+                    text = decode(data, at)
+                except (OSError, ValueError) as e:
+                    yield pa.RecordBatch.from_pylist([row | {"error": str(e)}], arrow)
+                    continue
+                if language is not None:
+                    states = lexer.states_of(language)
+                    found = dict(zip(states, lexer.text_facts(text, language, states, braces_as_code, keywords)))
+                    each = [found.get(s, (s, 0, [0] * len(language.keywords))) for s in range(4)]
+                    row |= {"lines": lexer.count_lines(text), "after": [x[0] for x in each], "code": [x[1] for x in each], "counts": [x[2] for x in each]}
+                yield pa.RecordBatch.from_pylist([row], arrow)
+
+    longs = pa.list_(pa.int64())
+    arrow = pa.schema([("path", pa.string()), ("language", pa.string()), ("bytes", pa.int64()), ("start", pa.int64()), ("error", pa.string()), ("lines", pa.int64()), ("after", pa.list_(pa.int32())), ("code", longs), ("counts", pa.list_(longs))])
+    each = ranges.mapInArrow(run, schema)
+    r = F.sort_array(F.collect_set(F.struct("start", "lines", "after", "code", "counts")))
+    files = each.groupBy("path", "language", "bytes").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("start"))).alias("error"), r.alias("r"))
+    none = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("code"), F.transform(F.get(F.get("r", F.lit(0))["counts"], F.lit(0)), lambda x: F.lit(0).cast("long")).alias("counts"))
+
+    def go_on(a, x):
+        counts = F.zip_with(a["counts"], F.get(x["counts"], a["state"]), lambda m, n: m + n)
+        return F.struct(F.get(x["after"], a["state"]).alias("state"), (a["lines"] + x["lines"]).alias("lines"), (a["code"] + F.get(x["code"], a["state"])).alias("code"), counts.alias("counts"))
+
+    folded = files.withColumn("f", F.when(F.col("error").isNull(), F.aggregate("r", none, go_on)))
+    return folded.select("path", "language", "bytes", "error", F.col("f.lines").alias("lines"), F.col("f.code").alias("code_lines"), F.col("f.counts").alias("counts"))
+
+
 def keyword_stats(stats: DataFrame, languages: DataFrame) -> DataFrame:
     """(language, keyword, n) over all files of ``stats``; every keyword of a language that has files is there, if only with 0."""
     names = languages.select(F.col("name").alias("language"), F.posexplode("keywords").alias("k", "word")).select("language", "k", F.col("word.name").alias("keyword"))
@@ -85,106 +129,136 @@ def keyword_stats(stats: DataFrame, languages: DataFrame) -> DataFrame:
     return found.groupBy("language", "keyword").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 
-@lru_cache(maxsize=64)
-def _states(language: Language) -> tuple[int, ...]:
-    block = (lexer.BLOCK,) if language.block_start else ()
-    return (lexer.CODE, *block, *(lexer.STRING + k for k in range(len(language.strings))))
+#: A line's effect is a byte, two bits for the state that each of the four states becomes; this one leaves them as they are.
+SAME = 0b11_10_01_00
+
+
+def effect_byte(after: list[int]) -> int:
+    return sum(b << 2 * a for a, b in enumerate(after))
+
+
+@lru_cache(maxsize=1)
+def composed() -> np.ndarray:
+    """What two effects are together, at [first, second]: 256 times 256 bytes."""
+    after = (np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3
+    return sum(after[:, after[:, a]].T << 2 * a for a in range(4)).astype(np.uint8)
+
+
+def prefixes(effects: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each line, what the lines of its run up to it do together; ``first`` marks where runs begin.
+
+    Effects compose associatively, so a run of n lines takes log n look-ups of whole arrays.
+    """
+    table, out, begin = composed(), effects.copy(), np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    at, step, longest = np.arange(len(out)), 1, int((np.arange(len(out)) - begin).max(initial=0))
+    while step <= longest:
+        (has,) = np.nonzero(at - begin >= step)
+        out[has] = table[out[has - step], out[has]]
+        step *= 2
+    return out
 
 
 def line_outcomes(lines: DataFrame, languages: dict[str, Language], braces_as_code: bool = False) -> DataFrame:
-    """``lines`` (file, line_no, language, line) with ``next`` and ``code``: for each of the four states before it, the state after it and whether it is code.
+    """``lines`` (file, line_no, language, line) with ``effect`` and ``code``: the state that each of the four states becomes, two bits each, and in which of them the line is code, a bit each.
 
     Lines without any mark of their language are settled by column functions and never reach
-    Python: code stays code, a comment stays a comment, a string stays a string.
+    Python: code stays code, a comment stays a comment, a string stays a string. Lines of unknown languages are left out.
     """
     ship(lines.sparkSession)
     known = F.col("language").isin(*sorted(languages))
     marks = F.lit(None).cast("string")
     for name, x in languages.items():
-        marks = F.when(F.col("language") == name, F.lit(lexer._any_mark(x).pattern)).otherwise(marks)
-    trimmed = lines.where(known).withColumn("text", trim(F.col("line"))).withColumn("marked", F.rlike("text", marks))
-    blank = F.col("text") == ""
-    plain = trimmed.where(~F.col("marked")).select("file", "line_no", F.array(*map(F.lit, range(4))).alias("next"), F.array(~blank & ~is_extra(F.col("text"), braces_as_code), F.lit(False), ~blank, ~blank).alias("code"))
+        marks = F.when(F.col("language") == name, F.lit(lexer.any_mark(x).pattern)).otherwise(marks)
+    trimmed = lines.where(known).withColumn("text", trim(F.coalesce("line", F.lit("")))).withColumn("marked", F.rlike("text", marks))
+    full, extra = (F.col("text") != "").cast("int"), is_extra(F.col("text"), braces_as_code).cast("int")
+    plain = trimmed.where("NOT marked").select("file", F.col("line_no").cast("long").alias("line_no"), F.lit(SAME).alias("effect"), (full * (13 - extra)).cast("int").alias("code"))
 
     def run(batches):
+        held: dict[tuple[str, str], tuple[int, int]] = {}
         for batch in batches:
-            after, code = [], []
-            for name, text in zip(batch.column("language").to_pylist(), batch.column("text").to_pylist()):
-                language, nexts, flags = languages[name], list(range(4)), [False] * 4
-                for state in _states(language):
-                    facts = lexer.line_facts(text, language, state)
-                    nexts[state], flags[state] = facts.state, lexer.is_code(facts, braces_as_code)
-                after.append(nexts)
-                code.append(flags)
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("line_no"), pa.array(after, pa.list_(pa.int32())), pa.array(code, pa.list_(pa.bool_()))], ["file", "line_no", "next", "code"])
+            found = []
+            for key in zip(batch.column("language").to_pylist(), batch.column("text").to_pylist()):
+                got = held.get(key)
+                if got is None:
+                    language, after, code = languages[key[0]], [0, 1, 2, 3], 0
+                    for state in lexer.states_of(language):
+                        facts = lexer.line_facts(key[1], language, state)
+                        after[state] = facts.state
+                        code |= lexer.is_code(facts, braces_as_code) << state
+                    got = (effect_byte(after), code)
+                    if len(key[1]) <= 80:
+                        if len(held) >= 50_000:
+                            held.clear()
+                        held[key] = got
+                found.append(got)
+            effects, codes = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("line_no"), pa.array(effects, pa.int32()), pa.array(codes, pa.int32())], ["file", "line_no", "effect", "code"])
 
     kind = dict(lines.dtypes)["file"]
-    marked = trimmed.where("marked").select("file", F.col("line_no").cast("long").alias("line_no"), "language", "text").mapInArrow(run, f"file {kind}, line_no long, next array<int>, code array<boolean>")
-    return plain.withColumn("line_no", F.col("line_no").cast("long")).unionByName(marked)
+    marked = trimmed.where("marked").select("file", F.col("line_no").cast("long").alias("line_no"), "language", "text").mapInArrow(run, f"file {kind}, line_no long, effect int, code int")
+    return plain.unionByName(marked)
 
 
-def _sorted_runs(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows of one (file, stretch) side by side in one task, in order."""
-    return rows.repartition("file", "stretch").sortWithinPartitions("file", "stretch", *order)
+def _scanned(rows: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
+    """``rows`` (keys, effect, others), sorted, with ``before``, what the rows of the same keys above do together, and, in a key's last row, ``whole``, what they all do."""
+    names = [f.name for f in schema.fields]
+
+    def changes(table: pa.Table) -> np.ndarray:
+        first = np.zeros(table.num_rows, bool)
+        first[:1] = True
+        for k in keys:
+            codes = table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            first[1:] |= codes[1:] != codes[:-1]
+        return first
+
+    def run(batches):
+        held = None  # the last row so far, with all that its run did up to it: the next batch may go on with it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]).append_column("before", pa.nulls(batch.num_rows, pa.int32())).append_column("upto", pa.nulls(batch.num_rows, pa.int32()))
+            table = pa.concat_tables([held, table]) if held is not None else table
+            first = changes(table)
+            effects = table.column("effect").to_numpy().astype(np.uint8)
+            if held is not None:
+                effects[0] = held.column("upto")[0].as_py()
+            upto = prefixes(effects, first)
+            before = np.where(first, SAME, np.roll(upto, 1)).astype(np.int32)
+            if held is not None:
+                before[0] = held.column("before")[0].as_py()
+            table = table.drop(["before", "upto"]).append_column("before", pa.array(before, pa.int32())).append_column("upto", pa.array(upto.astype(np.int32)))
+            last = np.append(first[1:], False)
+            yield from finished(table.slice(0, table.num_rows - 1), last[:-1])
+            held = table.slice(table.num_rows - 1)
+        if held is not None:
+            yield from finished(held, np.array([True]))
+
+    def finished(table, last):
+        whole = pa.array(table.column("upto").to_numpy(), pa.int32(), mask=~last)
+        yield from table.append_column("whole", whole).select(names).to_batches()
+
+    return rows.mapInArrow(run, schema)
 
 
 def line_states(outcomes: DataFrame, stretch: int = 4096) -> DataFrame:
     """(file, line_no, state, is_code) for ``line_outcomes``: the state before each line by a prefix scan.
 
-    Lines fall in stretches. What a stretch does to the state is composed where its lines are; a file's
-    stretches (a row of four numbers for ``stretch`` lines) are scanned once from its start, which gives the state
-    before each; and each stretch is walked from there. All three are linear and read their
-    rows as a stream, so a file of any length is shared by many tasks. No rows: no rows.
+    Lines fall in stretches, which tasks share whatever their file. One pass composes the effects of a stretch's lines and is
+    staged; a row for each stretch is scanned again within its file, which gives the state that each begins in; the
+    rest is a join and two shifts. A file of any length is shared by many tasks. No rows: no rows.
     """
     kind = next(f.dataType for f in outcomes.schema.fields if f.name == "file")
-    arrow = to_arrow_type(kind)
-    cut = outcomes.select("file", "line_no", "next", "code", F.floor(F.col("line_no") / stretch).cast("long").alias("stretch"))
-
-    def columns(batch, *names):
-        return zip(*(batch.column(c).to_pylist() for c in names))
-
-    def compose(batches):
-        key, now = None, None
-        for batch in batches:
-            done = []
-            for file, k, after in columns(batch, "file", "stretch", "next"):
-                if (file, k) != key:
-                    done += [(*key, now)] if key else []
-                    key, now = (file, k), [0, 1, 2, 3]
-                now = [after[s] for s in now]
-            yield as_batch(done)
-        yield as_batch([(*key, now)] if key else [])
-
-    def as_batch(rows):
-        file, k, whole = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(file, arrow), pa.array(k, pa.int64()), pa.array(whole, pa.list_(pa.int32()))], ["file", "stretch", "whole"])
-
-    def begin(batches):
-        last, state = None, 0
-        for batch in batches:
-            first = []
-            for file, whole in columns(batch, "file", "whole"):
-                state = state if file == last else 0
-                first.append(state)
-                last, state = file, whole[state]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("stretch"), pa.array(first, pa.int32())], ["file", "stretch", "first"])
-
-    def walk(batches):
-        key, state = None, 0
-        for batch in batches:
-            states, flags = [], []
-            for file, k, after, code, first in columns(batch, "file", "stretch", "next", "code", "first"):
-                if (file, k) != key:
-                    key, state = (file, k), first
-                states.append(state)
-                flags.append(code[state])
-                state = after[state]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("line_no"), pa.array(states, pa.int32()), pa.array(flags, pa.bool_())], ["file", "line_no", "state", "is_code"])
 
     def typed(ddl: str) -> T.StructType:
         return T.StructType([T.StructField("file", kind), *T.StructType.fromDDL(ddl).fields])
 
-    wholes = _sorted_runs(cut, "line_no").mapInArrow(compose, typed("stretch long, whole array<int>"))
-    firsts = wholes.repartition("file").sortWithinPartitions("file", "stretch").mapInArrow(begin, typed("stretch long, first int"))
-    walked = _sorted_runs(cut.join(firsts, ["file", "stretch"]), "line_no")
-    return walked.mapInArrow(walk, typed("line_no long, state int, is_code boolean"))
+    cut = outcomes.select("file", F.floor(F.col("line_no") / stretch).cast("long").alias("stretch"), "line_no", "effect", "code")
+    dealt = cut.repartition("file", "stretch").sortWithinPartitions("file", "stretch", "line_no")
+    lines = staged(_scanned(dealt, ["file", "stretch"], typed("stretch long, line_no long, code int, before int, whole int")), "line-effects")
+    wholes = lines.where("whole IS NOT NULL").select("file", "stretch", F.col("whole").alias("effect")).repartition("file").sortWithinPartitions("file", "stretch")
+    # a file begins in state 0, so the state that a stretch begins in is what all before it make of 0
+    firsts = _scanned(wholes, ["file"], typed("stretch long, before int")).select("file", "stretch", F.col("before").bitwiseAND(3).alias("first"))
+    a, b = lines.alias("a"), firsts.alias("b")
+    met = a.join(b, F.col("a.file").eqNullSafe(F.col("b.file")) & (F.col("a.stretch") == F.col("b.stretch")))
+    state = F.expr("shiftright(a.before, 2 * b.first) & 3")
+    return met.select(F.col("a.file").alias("file"), F.col("a.line_no").alias("line_no"), state.alias("state"), (F.expr("shiftright(a.code, shiftright(a.before, 2 * b.first) & 3) & 1") == 1).alias("is_code"))

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Options
 from ..languages import Language, extension_owners, language_frame, select_languages
 from ..operators import history, lines, stats
-from ..sources.code_files import list_files, read_contents
+from ..sources.code_files import BYTES_PER_TASK, RANGE_BYTES, file_ranges, list_files, read_contents
 from ..sources.globs import exclude_regex
 from ..sources.listing import ListOptions
+from ..staging import new_path
 from . import report
 
 
@@ -25,12 +27,18 @@ class NoFilesError(RuntimeError):
 
 @dataclass
 class Scan:
-    """The tables of a run; all but the summary are lazy over one written table of file statistics."""
+    """The tables of a run, lazy over its written listing and file statistics, and what was counted as these were written.
+
+    ``listed``: total, relevant and excluded files. ``counted``: the files that could be read, their lines, code_lines, extra_lines, bytes and
+    average_bytes, and how many were faulty.
+    """
 
     spark: SparkSession
     languages: dict[str, Language]
     listing: DataFrame
     files: DataFrame
+    listed: dict[str, int]
+    counted: dict[str, int]
     keywords: bool = True
     seconds: float = 0.0
     unknown: tuple[str, ...] = ()
@@ -61,56 +69,60 @@ class Scan:
             (value if isinstance(value, DataFrame) else value()).createOrReplaceTempView(prefix + name)
 
 
-def scan(spark: SparkSession, targets: list[str], languages: dict[str, Language], options: Options, folder: str | None = None) -> Scan:
-    """List, read and count ``targets``. ``folder``: where the listing and file statistics are written as Parquet; without it they are persisted."""
+def scan(spark: SparkSession, targets: list[str], languages: dict[str, Language], options: Options, folder: str | None = None, range_bytes: int = RANGE_BYTES) -> Scan:
+    """List, read and count ``targets``; the listing and the file statistics are written as Parquet in ``folder``, or in the shared folder.
+
+    Files of at most ``range_bytes`` are read whole, many to a task; larger ones are cut in ranges that tasks share.
+    """
     began = time.time()
+    folder = folder or new_path(spark, "scan")
     kept, unknown = select_languages(languages, options.languages, options.exclude_languages)
     dimension = language_frame(spark, kept)
     wanted = frozenset(x for language in kept.values() for x in language.extensions)
-    listing = list_files(spark, targets, ListOptions(wanted, exclude_regex(options.exclude or []), bool(options.search_in_dotted), not options.no_gitignore))
-    listing = _keep(listing, folder, "listing")
+    listing, listed = list_files(spark, targets, ListOptions(wanted, exclude_regex(options.exclude or []), bool(options.search_in_dotted), not options.no_gitignore), f"{folder}/listing", range_bytes)
+    if not listed["relevant"]:
+        raise NoFilesError("no relevant files")
     # the dimension has a row per extension, and extensions come from definitions, not from data
     files = listing.where("status = 'relevant'").join(F.broadcast(extension_owners(dimension)), "ext")
-    relevant = files.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
-    if not relevant.n:
-        raise NoFilesError("no relevant files")
-    contents = read_contents(files, relevant.bytes)
-    counted = lines.file_stats(contents, kept, bool(options.braces_as_code), not options.no_keywords, keep=["path", "language", "bytes", "error"])
-    return Scan(spark, kept, listing, _keep(counted, folder, "files"), not options.no_keywords, time.time() - began, tuple(unknown))
-
-
-def _keep(df: DataFrame, folder: str | None, name: str) -> DataFrame:
-    if folder is None:
-        return df.persist()
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def render(run: Scan, options: Options, log_text: str | None = None, now: datetime | None = None) -> tuple[str, dict]:
-    """(report, log entry) of a run; a row per language is all that reaches the driver, and the list of faulty files if asked for."""
-    rows = [r.asDict() for r in stats.ranked(run.language_stats()).orderBy("rank").collect()]
-    if not rows:
+    braces, keywords, keep = bool(options.braces_as_code), not options.no_keywords, ["path", "language", "bytes", "error"]
+    contents = read_contents(files.where(F.col("bytes") <= range_bytes), listed["bytes"] - listed["large_bytes"])
+    counted = lines.file_stats(contents, kept, braces, keywords, keep)
+    if listed["large"]:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-listed["large_bytes"] // BYTES_PER_TASK))
+        ranges = file_ranges(files.where(F.col("bytes") > range_bytes), range_bytes).repartition(tasks, "path", "start")
+        counted = counted.unionByName(lines.range_stats(ranges, kept, braces, keywords))
+    seen, valid = Observation(), F.col("lines").isNotNull()
+    sums = [F.coalesce(F.sum(F.when(valid, F.col(c))), F.lit(0)).alias(c) for c in ("lines", "code_lines", "bytes")]
+    counted.observe(seen, F.count_if(valid).alias("files"), F.count_if(~valid).alias("faulty"), *sums).write.mode("overwrite").parquet(f"{folder}/files")
+    found = dict(seen.get)
+    found |= {"extra_lines": found["lines"] - found["code_lines"], "average_bytes": found["bytes"] // found["files"] if found["files"] else 0}
+    return Scan(spark, kept, listing, spark.read.schema(counted.schema).parquet(f"{folder}/files"), listed, found, keywords, time.time() - began, tuple(unknown))
+
+
+def render(run: Scan, options: Options, log: DataFrame | None = None, now: datetime | None = None) -> tuple[str, dict]:
+    """(report, log entry) of a run; a row per language is all that reaches the driver, and the list of faulty files if asked for. ``log``: earlier runs, as ``history.SCHEMA``."""
+    if not run.counted["files"]:
         raise NoFilesError("all files are faulty")
-    total = run.totals().first().asDict()
+    ranked = stats.ranked(run.language_stats())
+    rows = [r.asDict() for r in ranked.orderBy("rank").collect()]
+    total = run.counted
     words: dict[str, dict[str, int]] = {}
     sums: dict[str, int] = {}
-    if run.keywords:
-        found = run.keyword_stats()
-        for r in found.collect():
-            words.setdefault(r.language, {})[r.keyword] = r.n
-        sums = {r.keyword: r.n for r in stats.keyword_totals(found).collect()}
-    top = [r.asDict() for r in stats.top_and_others(run.language_stats()).orderBy("rank").collect()]
-    parts = [report.summary(run.summary().first().asDict(), run.faulty().count(), run.unknown), report.details(rows, words)]
+    for r in run.keyword_stats().collect() if run.keywords else ():
+        words.setdefault(r.language, {})[r.keyword] = r.n
+        if r.n:
+            sums[r.keyword] = sums.get(r.keyword, 0) + r.n
+    parts = [report.summary(run.listed, run.counted["faulty"], run.unknown), report.details(rows, words)]
     if len(rows) > 1:
-        parts += [report.total(total, sums), report.overview(top, not options.no_visual, options.colors)]
+        top = stats.top_and_others(run.spark.createDataFrame(rows, ranked.schema)).orderBy("rank").collect()
+        parts += [report.total(total, sums), report.overview([r.asDict() for r in top], not options.no_visual, options.colors)]
     now = now or datetime.now(timezone.utc)
-    if log_text and options.compare:
-        frame = history.parse_log(run.spark.createDataFrame([(log_text,)], "content string")).orderBy("place").limit(options.compare)
-        entries = [r.asDict() for r in frame.withColumn("epoch", F.unix_timestamp("ts")).collect()]
+    if log is not None and options.compare:
+        entries = [r.asDict() for r in history.latest(log, options.compare).withColumn("epoch", F.unix_timestamp("ts")).collect()]
         for e in entries:
             e["ts"] = datetime.fromtimestamp(e["epoch"], timezone.utc) if e["epoch"] is not None else now
-        parts.append(report.progress(entries, total, now))
+        if entries:
+            parts.append(report.progress(entries, total, now))
     if (speed := run.metrics(total)) is not None:
         parts.append(f"{speed['files_per_sec']} files/s | {speed['lines_per_sec']} lines/s")
     if options.show_faulty_files:
@@ -119,13 +131,23 @@ def render(run: Scan, options: Options, log_text: str | None = None, now: dateti
     return "\n\n".join(parts), entry
 
 
-def write_log(path: str, entry: dict, options: Options) -> None:
-    """Put an entry before the older ones of a text log."""
-    older = ""
-    if os.path.isfile(path):
+def read_log(spark: SparkSession, path: str, n: int) -> DataFrame | None:
+    """The ``n`` newest runs of the log at ``path`` (a text file; its runs are a table beside it); None without any."""
+    table = history.table_of(path)
+    if not history.runs(spark, table) and os.path.isfile(path):
         with open(path, encoding="utf-8") as f:
-            older = f.read()
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+            history.import_text(spark, table, f.read())
+    return history.read_runs(spark, table, n)
+
+
+def write_log(spark: SparkSession, path: str, entry: dict, options: Options) -> None:
+    """Add a run to the log's table, then write the text form anew from it, newest run first; runs that end together both stay."""
     config = {"dirs": options.dirs, "exclude": options.exclude, "languages": options.languages, "excluded_languages": options.exclude_languages, "braces_as_code": options.braces_as_code, "search_in_dotted": options.search_in_dotted}
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(history.entry_text(entry, config) + older)
+    read_log(spark, path, 1)  # takes a text log over that has no table yet
+    history.append_entry(spark, history.table_of(path), entry | {"text": history.entry_text(entry, config)})
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+    with open(aside, "w", encoding="utf-8") as f:
+        for r in history.read_runs(spark, history.table_of(path)).orderBy(F.col("ts").desc_nulls_last()).select("text").toLocalIterator():
+            f.write(r.text)
+    os.replace(aside, path)

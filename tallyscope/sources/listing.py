@@ -1,9 +1,8 @@
 """Targets and the walk below them.
 
 Walking a tree prunes whole subtrees before they are opened, which no filter on
-a finished listing could do. The walk yields rows in bounded batches, so it runs on
-the driver for one tree or on executors, a task for each of many top folders
-(see ``code_files``).
+a finished listing could do. A walk opens as many folders as it may and hands the others
+over, so that tasks share a tree of any shape (see ``code_files``).
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from __future__ import annotations
 import glob
 import os
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +31,17 @@ class ListOptions:
     exclude: str | None = None
     dotted: bool = False
     gitignore: bool = True
+    #: What a reader asks for: only these extensions and statuses, only paths that begin so; folders that can't hold such are not opened.
+    only_ext: frozenset[str] | None = None
+    only_status: frozenset[str] | None = None
+    under: str = ""
+
+    def wants(self, e: Entry) -> bool:
+        return (self.only_ext is None or e.ext in self.only_ext) and (self.only_status is None or e.status in self.only_status) and e.path.startswith(self.under)
+
+    def may_hold(self, folder: str) -> bool:
+        folder = f"{folder.rstrip('/')}/"
+        return self.under.startswith(folder) or folder.startswith(self.under)
 
 
 @dataclass(frozen=True)
@@ -99,21 +110,24 @@ def resolve_targets(entries: list[str], gitignore: bool = True, dotted: bool = F
     return without_overlaps(out)
 
 
-def walk(folder: str, options: ListOptions, stack: IgnoreStack, on_folder=None, way: frozenset[str] = frozenset()) -> Iterator[Entry]:
-    """Files below ``folder``; ``on_folder(path, stack, way)`` may take a
-    subfolder over instead; ``way`` has the real paths of the folders above.
+def walk(folder: str, options: ListOptions, stack: IgnoreStack, on_folder=None, way: frozenset[str] = frozenset(), budget: int = 1) -> Iterator[Entry]:
+    """Files below ``folder``, level by level; ``way`` has the real paths of the folders above.
 
-    Hidden folders are left out unless asked for, hidden files are not. Links to folders
-    are followed, but not back into a folder on the way down; links to files and other
+    With ``on_folder(path, stack, way)``, that takes over the folders beyond the first ``budget``. Hidden folders are left out unless asked
+    for, hidden files are not. Links to folders are followed, but not back into a folder on the way down; links to files and other
     special files are passed over. A folder that can't be read counts as empty.
     """
     excluded = re.compile(options.exclude, re.S) if options.exclude else None
-    todo = [(folder, stack, way)]
+    todo = deque([(folder, stack, way)])
     while todo:
-        at, stack, way = todo.pop()
+        at, stack, way = todo.popleft()
+        if on_folder is not None and budget <= 0:
+            on_folder(at, stack, way)
+            continue
         real = os.path.realpath(at)
-        if real in way:
+        if real in way or not options.may_hold(at):
             continue
+        budget -= 1
         own = stack.inside(at) if options.gitignore else stack
         try:
             entries = sorted(os.scandir(at), key=lambda e: e.name)
@@ -122,23 +136,24 @@ def walk(folder: str, options: ListOptions, stack: IgnoreStack, on_folder=None,
         for e in entries:
             path = f"{at.rstrip('/')}/{e.name}"
             if e.is_file(follow_symlinks=False):
-                ext = extension(e.name)
-                if ext is None or ext not in options.extensions:
-                    yield Entry(path, ext, 0, "other")
-                elif (excluded and excluded.match(path)) or own.ignores(path, False):
-                    yield Entry(path, ext, 0, "excluded")
-                else:
-                    try:
-                        size = e.stat().st_size
-                    except OSError:
-                        size = 0
-                    yield Entry(path, ext, size, "relevant")
-            elif (options.dotted or not e.name.startswith(".")) and not (excluded and excluded.match(path)) and not own.ignores(path, True):
+                found = _entry(path, e, options, excluded, own)
+                if options.wants(found):
+                    yield found
+            elif (options.dotted or not e.name.startswith(".")) and options.may_hold(path) and not (excluded and excluded.match(path)) and not own.ignores(path, True):
                 if os.path.isdir(path):
-                    if on_folder is None:
-                        todo.append((path, own, way | {real}))
-                    else:
-                        on_folder(path, own, way | {real})
+                    todo.append((path, own, way | {real}))
+
+
+def _entry(path: str, e: os.DirEntry, options: ListOptions, excluded: re.Pattern | None, own: IgnoreStack) -> Entry:
+    ext = extension(e.name)
+    if ext is None or ext not in options.extensions:
+        return Entry(path, ext, 0, "other")
+    if (excluded and excluded.match(path)) or own.ignores(path, False):
+        return Entry(path, ext, 0, "excluded")
+    try:
+        return Entry(path, ext, e.stat().st_size, "relevant")
+    except OSError:
+        return Entry(path, ext, 0, "relevant")
 
 
 def list_target(target: str, options: ListOptions) -> Iterator[Entry]:
@@ -147,5 +162,5 @@ def list_target(target: str, options: ListOptions) -> Iterator[Entry]:
         yield from walk(target, options, IgnoreStack.for_target(target) if options.gitignore else IgnoreStack())
     else:
         ext = extension(target)
-        if ext in options.extensions:
-            yield Entry(target, ext, os.path.getsize(target), "relevant")
+        if ext in options.extensions and options.wants(found := Entry(target, ext, os.path.getsize(target), "relevant")):
+            yield found

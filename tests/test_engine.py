@@ -14,7 +14,7 @@ from tallyscope.functions import formatting, lexer
 from tallyscope.languages import LanguageError, built_in, extension_owners, language_frame, load_languages, parse_language, save_languages, select_languages, serialize_language
 from tallyscope.operators import history, lines, stats
 from tallyscope.plans import report, scan
-from tallyscope.sources.code_files import list_files, read_contents
+from tallyscope.sources.code_files import code_files, list_files, read_contents
 from tallyscope.sources.globs import GlobError, IgnoreFile, exclude_regex
 from tallyscope.sources.listing import ListOptions, TargetError, extension, list_target, resolve_targets, without_overlaps
 
@@ -61,8 +61,10 @@ def test_listing_through_spark(spark, tmp_path):
     top = tree(tmp_path, IGNORED | {"__init__.rs": "x", ".hidden.rs": "x", "note": "x"})
     os.symlink(f"{top}/b.rs", f"{top}/link.rs")
     os.symlink(top, f"{top}/loop")
-    got = list_files(spark, [top, f"{top}/sub/e.py"], ListOptions(frozenset({"py", "rs"})))
-    assert tuple(stats.scan_summary(got).first()) == (11, 5, 3)
+    targets, options = [top, f"{top}/sub/e.py"], ListOptions(frozenset({"py", "rs"}))
+    got, counts = list_files(spark, targets, options)
+    assert tuple(stats.scan_summary(got).first()) == (11, 5, 3) == (counts["total"], counts["relevant"], counts["excluded"])
+    assert sorted(map(tuple, code_files(spark, targets, options).collect())) == sorted(map(tuple, got.collect()))
     assert {os.path.basename(r.path) for r in got.where("status = 'relevant'").collect()} == {"b.rs", "keep.py", "__init__.rs", ".hidden.rs", "e.py"}
 
 
@@ -228,7 +230,7 @@ def test_history(spark, tmp_path):
     assert "1 days, 1 hours and 1 minutes ago" in report.progress(entries[:1], entries[0], now)
     history.append_entry(spark, str(tmp_path / "log"), entries[0])
     history.append_entry(spark, str(tmp_path / "log"), entries[1])
-    assert [r.name for r in history.latest(spark.read.parquet(str(tmp_path / "log")), 1).collect()] == ["one"]
+    assert [r.name for r in history.latest(spark.read.parquet(str(tmp_path / "log")), 1).collect()] == ["one"] == [r.name for r in history.read_runs(spark, str(tmp_path / "log"), 1).collect()]
 
 
 def test_formatting():

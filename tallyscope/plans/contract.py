@@ -8,14 +8,21 @@ whole tables.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS
 from ..languages import Keyword, Language, built_in, extension_owners, language_frame
 from ..operators import history, lines, stats
+from ..sources.code_files import list_files
 from ..sources.globs import exclude_regex
+from ..sources.listing import ListOptions
+from ..staging import new_path
+from . import cases, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +47,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _files(spark: SparkSession, sf_dir: str, by: str = "lang") -> DataFrame:
     """Documents as files whose non-blank lines are all code: lines are split once, and only their count and the blank ones are looked at."""
     docs = _table(spark, sf_dir, "documents")
-    facts = lines.let(lines.split_lines(F.col("text")), lambda x: F.struct(F.size(x).alias("n"), F.size(F.filter(x, lambda line: ~line.rlike(lines.BLANK_OR_BRACES))).alias("code")))
+    facts = lines.let(lines.split_lines(F.col("text")), lambda x: F.struct(F.size(x).alias("n"), F.size(F.filter(x, lambda line: ~lines.blank_or_braces(line))).alias("code")))
     return docs.select(F.col(by).alias("language"), F.octet_length("text").cast("long").alias("bytes"), facts.alias("f")).select("language", "bytes", F.col("f.n").cast("long").alias("lines"), F.col("f.code").cast("long").alias("code_lines"))
 
 
@@ -151,10 +158,14 @@ def keyword_totals(spark, sf_dir):
     return stats.keyword_totals(_keyword_counts(spark, sf_dir))
 
 
-@query(f"""SELECT doc_id, {_LINES}::BIGINT AS lines, len(list_filter(list_transform({_SPLIT}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
-lambda x: x <> '' AND x[1] <> '#' AND NOT regexp_matches(split_part(x, '#', 1), '^(\\{{|\\}}|\\}};)\\s*$')))::BIGINT AS code_lines FROM documents WHERE NOT regexp_matches(text, '["'']')""")
+#: Documents with spaces for quotes: as Python, their lines are code up to a number sign.
+_UNQUOTED_LINES = """string_split(translate(text, '"''', '  '), chr(10))"""
+
+
+@query(f"""SELECT doc_id, {_LINES}::BIGINT AS lines, len(list_filter(list_transform({_UNQUOTED_LINES}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+lambda x: x <> '' AND x[1] <> '#' AND NOT regexp_matches(split_part(x, '#', 1), '^(\\{{|\\}}|\\}};)\\s*$')))::BIGINT AS code_lines FROM documents""")
 def hash_comment_classification(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where(~F.col("text").rlike("[\"']")).select("doc_id", "text", F.lit("Python").alias("language"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\"'", "  ").alias("text"), F.lit("Python").alias("language"))
     return lines.file_stats(docs, built_in(), keep=["doc_id"]).select("doc_id", "lines", "code_lines")
 
 
@@ -192,6 +203,81 @@ def braces_as_code_toggle(spark, sf_dir):
     return _part_lines(spark, sf_dir, True)
 
 
+def _case_sql(given) -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quoted(c[2])}, {quoted(c[3])}, {c[4]}, {c[5]})" for k, c in enumerate(given))
+    return f"""SELECT p_partkey, replace(line, '@', p_name) AS line, replace(cleansed, '@', p_name) AS cleansed, has_literal, next_state::INT AS next_state
+    FROM part JOIN (VALUES {rows}) v(k, line, cleansed, has_literal, next_state) ON k = p_partkey % {len(given)}"""
+
+
+def _cases(spark, sf_dir, given) -> DataFrame:
+    """Each part's line, made from its name, with the lexer's facts of it."""
+    known = F.broadcast(spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(given)], "k long, language string, state int, line string"))
+    parts = _table(spark, sf_dir, "part").withColumn("k", (F.col("p_partkey") % len(given)).cast("long")).join(known, "k")
+    made = parts.select("p_partkey", "language", "state", F.replace("line", F.lit("@"), F.col("p_name")).alias("line"))
+    return lines.line_facts(made, built_in(), ["p_partkey", "line"])
+
+
+@query(_case_sql(cases.STRINGS))
+def string_marks_by_construction(spark, sf_dir):
+    return _cases(spark, sf_dir, cases.STRINGS)
+
+
+@query(_case_sql(cases.BLOCKS))
+def block_marks_by_construction(spark, sf_dir):
+    return _cases(spark, sf_dir, cases.BLOCKS)
+
+
+@query(_case_sql(cases.QUIRKS))
+def lexer_quirks_by_construction(spark, sf_dir):
+    return _cases(spark, sf_dir, cases.QUIRKS)
+
+
+def _grown(spark: SparkSession, rows: DataFrame, label: str) -> str:
+    """A folder of files made from ``rows`` (path, text), written by the tasks that have them; it goes when the driver ends."""
+    root = new_path(spark, label).removeprefix("file:")
+    if not root.startswith("/"):
+        raise RuntimeError("files are scanned where all machines mount them; set spark.checkpoint.dir to such a folder")
+    root = "/" + root.lstrip("/")
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "wb") as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows.select("path", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+_TREE = """CASE page_id % 6 WHEN 0 THEN 'src' WHEN 1 THEN 'src/build' WHEN 2 THEN '.dots' WHEN 3 THEN 'docs' WHEN 4 THEN 'src/lib' ELSE 'src/lib/build/deep' END || '/d' || page_id % 3
+|| CASE page_id % 5 WHEN 0 THEN '/p' || page_id || '.py' WHEN 1 THEN '/_p' || page_id || '.rs' WHEN 2 THEN '/gen_' || page_id || '.py' WHEN 3 THEN '/.p' || page_id || '.py' ELSE '/p' || page_id || '.PY' END"""
+
+
+@query(f"""WITH p AS (SELECT {_TREE} AS path, page_id % 5 AS k, page_id % 6 AS f, length(url)::BIGINT AS bytes, page_id % 10 AS last FROM pages),
+s AS (SELECT *, CASE WHEN k = 4 THEN 'other' WHEN (k = 2 AND last <> 7) OR (k = 1 AND f IN (4, 5) AND last <> 1) OR (k = 3 AND last = 8) THEN 'excluded' ELSE 'relevant' END AS status FROM p WHERE f IN (0, 4, 5))
+SELECT path, CASE k WHEN 1 THEN 'rs' WHEN 4 THEN 'PY' ELSE 'py' END AS ext, status, CASE status WHEN 'relevant' THEN bytes ELSE 0 END AS bytes FROM s
+UNION ALL SELECT * FROM (VALUES ('.gitignore', 'none', 'other', 0), ('src/lib/.gitignore', 'none', 'other', 0)) v""")
+def listing_of_a_page_tree(spark, sf_dir):
+    """A tree grown from the pages and listed by rounds: ignore files at two levels with exceptions, exclude globs, hidden and excluded folders, names that begin with ``_`` or ``.``."""
+    pages = _table(spark, sf_dir, "pages").select(F.expr(_TREE).alias("path"), F.repeat(F.lit("x"), F.length("url")).alias("text"))
+    own = spark.createDataFrame([(".git/config", ""), (".gitignore", "build/\ngen_*.py\n!gen_*7.py\n"), ("src/lib/.gitignore", "*.rs\n!_p*1.rs\n!build/\n")], "path string, text string")
+    root = _grown(spark, pages.unionByName(own), "page-tree")
+    found, _ = list_files(spark, [root], ListOptions(frozenset({"py", "rs"}), exclude_regex(["docs", ".p*8.py"])), first_folders=1, round_folders=8)
+    return found.select(F.substring("path", len(root) + 2, 10_000).alias("path"), F.coalesce("ext", F.lit("none")).alias("ext"), "status", "bytes")
+
+
+@query(f"SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, {_LINES}::BIGINT AS lines, {_CODE}::BIGINT AS code_lines FROM documents WHERE text IS NOT NULL")
+def scan_of_a_document_tree(spark, sf_dir):
+    """Each document written as a file and the tree scanned; larger ones are shared by several tasks."""
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    root = _grown(spark, docs.select(F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "text"), "document-tree")
+    run = scan.scan(spark, [root], {"Prose": _PROSE}, DEFAULTS, range_bytes=4096)
+    return run.files.select(F.regexp_extract("path", r"(-?[0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "bytes", "lines", "code_lines")
+
+
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
 

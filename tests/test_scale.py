@@ -18,7 +18,7 @@ from tallyscope.operators import history, lines
 from tallyscope.plans import scan
 from tallyscope.sources import listing
 from tallyscope.sources.code_files import PushdownReader, code_files, decode, list_files, read_range
-from tallyscope.sources.globs import IgnoreStack
+from tallyscope.sources.globs import IgnoreFile, IgnoreStack, Segments
 from tallyscope.sources.listing import ListOptions, list_target
 
 LANGUAGES = built_in()
@@ -211,3 +211,36 @@ def test_a_log_for_several_writers(spark, tmp_path):
     assert [r.name for r in found] == [f"run {k}" for k in (9, 5, 4, 3, 2, 1, 0, -1, -2)]
     os.makedirs(f"{history.table_of(path)}/_writing-other")  # a writer that died leaves no run
     assert len(history.runs(spark, history.table_of(path))) == 8
+
+
+def rule_by_rule(ignore: IgnoreFile, path: str, is_dir: bool) -> bool | None:
+    below = path[len(ignore.folder) + 1 :]
+    return next((not keep for regex, keep, only_dirs in reversed(ignore.rules) if (is_dir or not only_dirs) and regex.fullmatch(below)), None)
+
+
+def test_rules_by_names_decide_as_rule_by_rule():
+    rng = random.Random(8)
+    names = ["a", "b", "ab", "a.py", "b.py", ".x", "**", "*", "*.py", "a*", "?", "[ab]", "*b*", "a**", "\\*", "[!a]b", "**b"]
+    paths = ["/r/" + "/".join(rng.choices(["a", "b", "ab", "a.py", "b.py", ".x", "aab", "*", "c"], k=rng.randint(1, 4))) for _ in range(200)]
+    seen = set()
+    for _ in range(300):
+        rules = [rng.choice(["", "", "!"]) + rng.choice(["", "", "/"]) + "/".join(rng.choices(names, k=rng.randint(1, 3))) + rng.choice(["", "", "/"]) for _ in range(rng.randint(1, 6))]
+        ignore = IgnoreFile.parse("/r", "\n".join(rules))
+        for path in rng.sample(paths, 25):
+            for is_dir in (False, True):
+                want = rule_by_rule(ignore, path, is_dir)
+                seen.add(want)
+                assert ignore.verdict(path, is_dir) == want, (rules, path, is_dir)
+    assert seen == {True, False, None}
+
+
+def test_rules_that_cannot_match_cost_nothing():
+    many = IgnoreFile.parse("/r", "\n".join(f"name{k}\n/top{k}/x\n*.ext{k}\npre{k}*" for k in range(5000)) + "\nwanted\n")
+    looked_at = []
+    step = Segments.step
+    try:
+        Segments.step = lambda self, name, out: looked_at.append((len(self.others), len(self.ends_with), len(self.starts_with))) or step(self, name, out)
+        assert many.verdict("/r/some/deep/wanted", False) and many.verdict("/r/some/deep/other", False) is None
+    finally:
+        Segments.step = step
+    assert len(looked_at) <= 16 and max(map(max, looked_at)) <= 4 and not many.odd

@@ -10,6 +10,7 @@ counted in every segmentation by its posterior weight.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from uuid import uuid4
@@ -29,17 +30,19 @@ FOLDS = 5
 #: About as many labelled documents of each language are fitted.
 PER_LANGUAGE = 2000
 ROUNDS = 3
-#: Longest words, mark included, that are fitted, and that are scored many at a time and cached.
+#: Longest words, mark included, that are scored many at a time and cached.
 SHORT = 48
 #: Letters of the words that are scored at once.
 AT_ONCE = 200_000
 #: Least probability of a character that no piece of one character covers.
 LEAST = 1e-12
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits: fractions, superscripts, circled and Roman numerals.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, marked at their start."""
+    """Lower-cased runs of letters (Unicode's category L), marked at their start."""
     return [SPACE + w for w in _LETTERS.findall((text or "").lower())]
 
 
@@ -119,6 +122,26 @@ class Lattice:
                 np.logaddexp(beta[i], ahead, beta[i])
         return out
 
+    def expect_long(self, word: str, count: float, logs: np.ndarray, out: np.ndarray) -> None:
+        """Add to ``out`` what ``expected`` is of one word of any length; only the pieces that are in it are held, not all cuts."""
+        n = len(word)
+        ways: list[tuple[int, int, int]] = []  # (begin, end, row) by rising end
+        single = np.zeros(n, bool)
+        for end, (size, k) in self.matches.iter(word):
+            ways.append((end + 1 - size, end + 1, k))
+            single[end] |= size == 1
+        ways += [(k, k + 1, self.rows - 1) for k in np.flatnonzero(~single).tolist()]
+        ways.sort(key=lambda w: w[1])
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = 0
+        for i, j, k in ways:
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs[k])
+        beta[n] = np.log(count) - alpha[n]
+        for i, j, k in sorted(ways, key=lambda w: -w[0]):
+            ahead = logs[k] + beta[j]
+            out[k] += np.exp(alpha[i] + ahead)
+            beta[i] = np.logaddexp(beta[i], ahead)
+
     def long(self, word: str, logs: np.ndarray) -> np.ndarray:
         """The same sum for one word of any length; only as many beginnings as the longest piece are held."""
         held = [np.zeros(logs.shape[1])]
@@ -152,8 +175,8 @@ def by_length(words) -> Iterator[list[str]]:
 def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> tuple[list[str], list[str], np.ndarray]:
     """(languages, pieces, probabilities) from about ``per_language`` documents of each language.
 
-    Documents are chosen by a hash of their id against the language's count. Words of fewer than
-    ``SHORT`` letters are counted on the executors; each round sends the probabilities out and
+    Documents are chosen by a hash of their id against the language's count. Their words, of any length, are
+    counted on the executors; each round sends the probabilities out and
     brings one number per language and piece back, whatever the number of documents. Every
     character has some probability in every language, so all of them are finite logarithms.
     """
@@ -172,7 +195,7 @@ def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col:
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen.update((lang, w) for w in letter_words(text.as_py()) if len(w) <= SHORT)
+                seen.update((lang, w) for w in letter_words(text.as_py()))
             if seen:
                 (lang, word), n = zip(*seen), list(seen.values())
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(n, pa.int64())], ["lang", "word", "n"])
@@ -193,6 +216,8 @@ def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col:
                     own.setdefault(lang, {})[word] = n
                 for lang, seen in own.items():
                     out = total.setdefault(lang, np.zeros(lattice.rows))
+                    for word in [w for w in seen if len(w) > SHORT]:
+                        lattice.expect_long(word, seen.pop(word), shared.value[:, place[lang]], out)
                     for group in by_length(seen):
                         out += lattice.expected(group, np.array([seen[w] for w in group], float), shared.value[:, place[lang], None])
             for lang, out in total.items():

@@ -10,7 +10,8 @@ so differences are found once for many fingerprints.
 Across the cluster, two fingerprints within three bits are equal in one of four blocks
 of 16 bits. Each block in turn is rotated to the front and rotated fingerprints are cut, in
 Gray order, into runs that keep a block's equals together; a run is a task's, with an
-index of its own. So a fingerprint is sent four times, however many there are. Within a task,
+index of its own. So a fingerprint is sent four times; where a block holds too many, the other 48 bits are
+cut in four again, and what is in it is sent four times within it. Within a task,
 links join a union-find and only a spanning forest comes out, so a group of n near
 copies gives n rows, not n squared.
 """
@@ -18,6 +19,7 @@ copies gives n rows, not n squared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ FAN = 8
 #: Fingerprints of one run; time and memory of a task follow it, up to twice of it.
 PER_PART = 16_384
 LEAST_PARTS = 16
+#: Times that blocks too large are cut in blocks again.
+LEVELS = 4
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -201,30 +205,60 @@ def local_links(own: np.ndarray, guests: np.ndarray, limit: int, within: bool =
     return everyone[linked], everyone[root[linked]]
 
 
+def turned(rows: DataFrame, limit: int, used: int) -> DataFrame:
+    """``rows`` (key, n, fp, code) once for each turn: (key, n, turn, block, fp, code).
+
+    The first ``used`` bits of ``code`` are the same for all rows of a key; the others are cut in blocks, one more than ``limit``, and each in
+    turn is moved to the front of them. Two codes of a key within ``limit`` bits agree in one block at least.
+    """
+    free = BITS - used
+    size, mask = free // (limit + 1), (1 << free) - 1
+    signed = mask - (1 << 64) if mask >> 63 else mask
+    rest = F.col("code").bitwiseAND(F.lit(signed))
+    front = F.col("code").bitwiseAND(F.lit(~signed))
+    moved = [rest if not k else F.shiftleft(rest, k * size).bitwiseOR(F.shiftrightunsigned(rest, free - k * size)).bitwiseAND(F.lit(signed)) for k in range(limit + 1)]
+    width = min(size, 16)
+    turns = F.array(*[F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(m, free - width).alias("block"), front.bitwiseOR(m).alias("code")) for k, m in enumerate(moved)])
+    return rows.select("key", "n", "fp", F.inline(turns)).select("key", "n", "turn", "block", "fp", "code")
+
+
 def runs(fps: DataFrame, total: int, limit: int, per_part: int) -> DataFrame:
-    """(turn, run, x, y, part, fp) for each of ``total`` fingerprints and turn: its run and, in runs of one heavy block, each pair of parts it is in.
+    """(key, turn, run, x, y, part, fp, code) for each of ``total`` fingerprints, turn by turn: the run that a task compares.
 
     Every pair within ``limit`` bits is in one run at least. A run has the codes whose block begins alike,
     which are side by side in Gray order, and how many bits that is follows the table's size. A run of twice
-    too many is cut by whole blocks, and a block of twice too many in parts. A block's number of
-    fingerprints is all that is looked at: at most (limit + 1) * 65,536 rows, whatever the table's
-    size, so they are broadcast.
+    too many is cut by whole blocks. A block of twice too many is a key of its own: what its codes have besides the block
+    is cut in blocks again, so each code is sent on to limit + 1 runs of it, not to all parts of it, whatever it
+    holds. Only codes that agree in the blocks of four levels (for three bits, 43 of 64 bits) and are still too many are cut in
+    parts that meet two at a time; there are too few different ones to go on.
+
+    Blocks of the first level are at most (limit + 1) * 65,536 rows, whatever the table's size, so they are broadcast; those of
+    further levels meet their codes by a shuffle.
     """
-    bits = max(0, -(-total // per_part) - 1).bit_length()
-    n_turns = limit + 1 if bits else 1
-    size, width = BITS // (limit + 1), min(BITS // (limit + 1), 16)
-    bits = min(bits, width)
-    blocks = F.array(*[F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(F.shiftleft("fp", k * size), BITS - width).alias("block")) for k in range(n_turns)])
-    each = fps.select("fp", F.inline(blocks))
-    counts = each.groupBy("turn", "block").agg(F.count("*").alias("n")).withColumn("begin", F.shiftright("block", width - bits))
-    sums = counts.groupBy("turn", "begin").agg(F.sum("n").alias("whole"))
-    cut = F.col("whole") > 2 * per_part
-    run = F.when(cut, -1 - F.col("block")).otherwise(F.col("begin"))
-    parts = F.when(cut & (F.col("n") > 2 * per_part), F.ceil(F.col("n") / per_part)).otherwise(1).cast("int")
-    found = counts.join(F.broadcast(sums), ["turn", "begin"]).select("turn", "block", run.alias("run"), parts.alias("parts"))
-    placed = each.join(F.broadcast(found), ["turn", "block"])
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).select("turn", "run", "part", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
-    return placed.select("turn", "run", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "fp")
+    if total <= per_part:
+        return fps.select(F.lit("").alias("key"), *[F.lit(0).alias(c) for c in ("turn", "run", "x", "y", "part")], "fp", F.col("fp").alias("code"))
+    rows, used, out = fps.select(F.lit("").alias("key"), F.lit(total).cast("long").alias("n"), "fp", F.col("fp").alias("code")), 0, []
+    for level in range(LEVELS):
+        width = min((BITS - used) // (limit + 1), 16)
+        each = turned(rows, limit, used)
+        bits = F.least(F.lit(width), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / per_part)).cast("int"))).alias("bits")
+        counts = each.groupBy("key", "turn", "block").agg(F.count("*").alias("here"), F.max(bits).alias("bits")).withColumn("begin", F.expr(f"shiftright(block, {width} - bits)"))
+        full = F.col("here") > 2 * per_part
+        sums = counts.groupBy("key", "turn", "begin").agg(F.sum(F.when(~full, F.col("here"))).alias("light"))
+        found = counts.join(F.broadcast(sums) if not level else sums, ["key", "turn", "begin"])
+        found = staged(found.select("key", "turn", "block", "here", full.alias("full"), F.when(F.col("light") > 2 * per_part, -1 - F.col("block")).otherwise(F.col("begin")).alias("run")), "simhash-blocks")
+        placed = each.join(F.broadcast(found) if not level else found, ["key", "turn", "block"])
+        last = level == LEVELS - 1 or not found.where("full").limit(1).count()
+        parts = F.when(F.col("full"), F.ceil(F.col("here") / per_part)).otherwise(1).cast("int") if last else F.lit(1)
+        here = (placed if last else placed.where("NOT full")).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        run = F.when(F.col("full"), -1 - F.col("block")).otherwise(F.col("run")).alias("run")
+        here = here.select("key", "turn", run, "part", "fp", "code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
+        out.append(here.select("key", "turn", "run", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "fp", "code"))
+        if last:
+            break
+        rows = placed.where("full").select(F.concat_ws(":", "key", "turn", "block").alias("key"), F.col("here").alias("n"), "fp", "code")
+        used += width
+    return reduce(DataFrame.unionByName, out)
 
 
 def near_links(fps: DataFrame, limit: int = 3, per_part: int = PER_PART) -> DataFrame:
@@ -234,18 +268,16 @@ def near_links(fps: DataFrame, limit: int = 3, per_part: int = PER_PART) -> Data
     """
     total = python_ready(fps).count()
     tasks = max(LEAST_PARTS, -(-(limit + 1) * total // per_part))
-    turn_size = BITS // (limit + 1)
 
     def link(key, table):
-        turn, _, x, y = (k.as_py() for k in key)
-        fp, part = table.column("fp").to_numpy().view(np.uint64), table.column("part").to_numpy()
-        left, right = np.uint64(turn * turn_size), np.uint64((BITS - turn * turn_size) % BITS)
-        turned = fp << left | fp >> right if turn else fp
-        a, b = local_links(turned[part == x], turned[part == y] if x != y else turned[:0], limit, x == y)
-        a, b = ((v >> left | v << right) if turn else v for v in (a, b))
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    keys = ["turn", "run", "x", "y"]
+        x, y = (k.as_py() for k in key[-2:])
+        code, part = table.column("code").to_numpy().view(np.uint64), table.column("part").to_numpy()
+        order = np.argsort(code)
+        fp, known = table.column("fp").to_numpy()[order], code[order]
+        found = local_links(code[part == x], code[part == y] if x != y else code[:0], limit, x == y)
+        return pa.table(dict(zip("ab", (fp[np.searchsorted(known, v)] for v in found))))
+
+    keys = ["key", "turn", "run", "x", "y"]
     return runs(fps.select("fp"), total, limit, per_part).repartition(tasks, *keys).groupBy(*keys).applyInArrow(link, "a long, b long")
 
 

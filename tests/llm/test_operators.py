@@ -126,6 +126,62 @@ def test_language_forward_sums_all_segmentations():
         assert np.isclose(counts[k], 2 * sum(v for w, v in ways.items() if piece in w) / z)
 
 
+def test_language_long_words_are_fitted_as_short_ones_are():
+    pieces = ["a", "b", "ab", "▁", "▁a", "ba", "bab"]
+    lattice, rng = language_id.Lattice(pieces), random.Random(1)
+    logs = language_id.logarithms(np.array([[0.0], *([x] for x in (0.1, 0.2, 0.05, 0.3, 0.15, 0.08, 0.02)), [1e-6]]))
+    for n in (1, 2, 5, 30, 47):
+        word = "▁" + "".join(rng.choices("abx", k=n))
+        out = np.zeros(lattice.rows)
+        lattice.expect_long(word, 3.0, logs[:, 0], out)
+        assert np.allclose(out, lattice.expected([word], np.array([3.0]), logs))
+
+
+def test_language_of_texts_without_letters(spark):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    known = [(k, prose(k, 30, "the and ing tion er of"), "en") for k in range(30)]
+    odd = [(1000 + k, t, None) for k, t in enumerate(["½", "² ³", "①", "Ⅷ", "12 ٣", "_", "½a"])]
+    table = spark.createDataFrame(known + odd, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(table, table, model).collect()}
+    assert all(got[1000 + k] == ("und", 0.0) for k in range(6)) and got[1006][0] == "en"
+
+
+def test_language_fit_and_score_by_enumeration(spark):
+    """Rounds of the fit and the score of a text, with every segmentation written out."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat", "en"), ("the that", "en"), ("le chat", "fr"), ("la", "fr"), ("cat", "en"), ("chatte", "fr")] * 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, pieces, probs = language_id.fit(table, model, per_language=10**9)
+    at = {p: k for k, p in enumerate(pieces, 1)}
+
+    def cuts(word):
+        if not word:
+            yield ()
+        for k in range(1, len(word) + 1):
+            if word[:k] in at or k == 1:
+                for rest in cuts(word[k:]):
+                    yield (at.get(word[:k], len(pieces) + 1), *rest)
+
+    start = np.array([0.0, *[10.0 ** -(5 - min(len(p), 4) * 0.5) for p in pieces], 1e-9])
+    want = np.repeat((start / start.sum())[:, None], len(langs), 1)
+    for _ in range(language_id.ROUNDS):
+        counts = np.zeros_like(want)
+        for _, text, lang in rows:
+            for word in language_id.letter_words(text):
+                ways, c = list(cuts(word)), langs.index(lang)
+                weights = np.array([np.prod(want[list(w), c]) for w in ways])
+                for w, share in zip(ways, weights / weights.sum()):
+                    np.add.at(counts[:, c], list(w), share)
+        counts[1:] += 0.01
+        counts[-1] = np.maximum(counts[-1], 0.1)
+        want = np.maximum(counts / counts.sum(0), language_id.LEAST)
+    assert np.allclose(probs, want)
+    text = "the chat"
+    likely = np.array([np.prod([sum(np.prod(want[list(w), c]) for w in cuts(word)) for word in language_id.letter_words(text)]) for c in range(len(langs))])
+    (logs,) = language_id.Scorer(pieces, probs).score([text])
+    assert np.allclose(np.exp(logs - logs.max()), likely / likely.max(), rtol=1e-4)
+
+
 def test_language_id_with_runs_of_unknown_letters(spark):
     """Long runs of letters without pieces, in few or many words, leave the model finite and the rest of its verdicts as they were."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -366,19 +422,44 @@ def test_simhash_sends_a_fingerprint_as_often_at_any_size(spark):
         assert sum(r["count"] for r in sent) == 4 * n and max(r["count"] for r in sent) <= 1100
 
 
+def linked_alike(fps, links) -> bool:
+    place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    got, want = simhash.Forest(len(fps)), simhash.Forest(len(fps))
+    got.join(np.array([place[r.a] for r in links], int), np.array([place[r.b] for r in links], int))
+    for at in range(0, len(fps), 500):
+        a, b = np.nonzero(np.bitwise_count(fps[at : at + 500, None] ^ fps) <= 3)
+        want.join(a + at, b)
+    return bool((got.settle() == want.settle()).all()) and len(set(want.settle())) > 1
+
+
 def test_simhash_heavy_blocks_are_split(spark):
     rng = np.random.default_rng(7)
     near = np.uint64(0x0123456789ABCDEF) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(600)], np.uint64)
     fps = np.unique(near)
     frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    sent = simhash.runs(frame, len(fps), 3, 40).groupBy("turn", "run", "x", "y").count().collect()
-    assert max(r["count"] for r in sent) < 200 and any(r.x != r.y for r in sent)
-    place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
-    got, want = simhash.Forest(len(fps)), simhash.Forest(len(fps))
-    links = simhash.near_links(frame, 3, per_part=40).collect()
-    got.join(np.array([place[r.a] for r in links]), np.array([place[r.b] for r in links]))
-    want.join(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps) <= 3))
-    assert (got.settle() == want.settle()).all() and len(set(want.settle())) > 1
+    sent = simhash.runs(frame, len(fps), 3, 40).groupBy("key", "turn", "run", "x", "y").count().collect()
+    assert max(r["count"] for r in sent) < 200 and any(r.key for r in sent)
+    assert linked_alike(fps, simhash.near_links(frame, 3, per_part=40).collect())
+
+
+@pytest.mark.parametrize("shared", [0, 30])
+def test_simhash_sends_stay_bounded_where_blocks_are_full(spark, shared):
+    """Far more fingerprints to a block than a run takes, or a third of all that begin alike: each is sent a fixed number of times, and no link is lost."""
+    rng = np.random.default_rng(shared)
+    made = rng.integers(0, 2**63, 4500, dtype=np.uint64)
+    made[:1500] = made[:1500] >> np.uint64(shared) | np.uint64(0xABCDEF0123456789) >> np.uint64(64 - shared) << np.uint64(64 - shared) if shared else made[:1500]
+    flips = [made[k] ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, rng.integers(1, 4), replace=False))) for k in range(0, 4500, 3)]
+    fps = np.unique(np.concatenate([made, np.array(flips, np.uint64)]))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    assert linked_alike(fps, simhash.near_links(frame, 3, per_part=20).collect())
+    times = simhash.runs(frame, len(fps), 3, 20).groupBy("fp").count().agg(F.max("count"), F.avg("count")).first()
+    assert times[0] <= 40 and times[1] <= 12
+
+
+def test_simhash_sends_at_many_times_the_first_level(spark):
+    frame = spark.range(300_000).select(F.xxhash64("id").alias("fp"))
+    times = simhash.runs(frame, 300_000, 3, 1).groupBy("fp").count().agg(F.max("count"), F.avg("count")).first()
+    assert times[0] <= 32 and times[1] <= 17
 
 
 @pytest.mark.parametrize("per_task", [1_000_000, 30])

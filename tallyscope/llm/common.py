@@ -2,61 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..staging import _written, new_path, remove, shared_dir, staged  # noqa: F401  shared with the operators
 
 #: White space that ends a word: space and the five controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master may go without the setting; there a temporary folder
-    of this process stands in for it.
-    """
-    global _own_dir
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="tallyscope-")
-    return f"file://{_own_dir}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """An unused path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: S112  that session has ended, or the folder is gone; others may be left
-            continue
-
 
 def discard(df: DataFrame) -> None:
     """Remove the files of a table made by ``staged`` that nothing reads any more."""
@@ -68,15 +23,17 @@ def discard(df: DataFrame) -> None:
                 break
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it from there.
+def discard_since(mark: int, kept: DataFrame) -> None:
+    """Remove the tables staged after the first ``mark`` of all, but for those that ``kept`` reads: what a stage needed on its way."""
+    files = kept.inputFiles()
+    for spark, path in _written[mark:]:
+        if not any(path.split(":", 1)[-1].replace("//", "/") in f.replace("//", "/") for f in files):
+            remove(spark, path)
+            _written.remove((spark, path))
 
-    It cuts the lineage in a way that outlives any executor, and what is
-    used twice is computed once.
-    """
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def n_staged() -> int:
+    return len(_written)
 
 
 def python_ready(df: DataFrame) -> DataFrame:

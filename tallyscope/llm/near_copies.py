@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import simhash
-from .common import fresh, python_ready, spread_join, staged
+from .common import discard, fresh, python_ready, spread_join, staged
 from .components import components
 from .held import release
 from .simhash import Forest, SEED, combine, grouped, keep_first, shingle_hashes
@@ -133,11 +133,14 @@ def pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep[k] = near(len(np.intersect1d(x, y, True)), len(x), len(y))
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "near-links")
+    links = staged(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "near-links")
+    for used in (pairs, named):
+        discard(used)
+    return links
 
 
 def index_links(one: DataFrame, texts: DataFrame) -> DataFrame:
-    """Near pairs (a, b) that the Gray-order index of fingerprints links; ``one``: node, fp."""
+    """Near pairs (a, b) that the Gray-order index of fingerprints links; ``one``: node, fp, one row a node, no nulls. No rows: no rows."""
     heads = staged(one.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "near-heads")
     links = simhash.near_links(heads, LIMIT)
     same = spread_join(one, heads, "fp", "n", one.count()).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -149,7 +152,7 @@ def index_links(one: DataFrame, texts: DataFrame) -> DataFrame:
 def group_links(stars: DataFrame, settled: DataFrame, texts: DataFrame) -> DataFrame:
     """Spanning forests (a, b) of the near pairs across ``settled`` (node, root) within each component of ``stars`` (a, b), by pairs of blocks.
 
-    Within a group, a settled component that fills a block gets blocks of its own, and these aren't compared with each other.
+    Nodes of ``stars`` are distinct texts, each in ``texts``; a null text has no shingles. No stars: no rows. Within a group, a settled component that fills a block gets blocks of its own, and these aren't compared with each other.
     """
     found = components(stars)  # without a row for the root itself
     groups = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
@@ -184,7 +187,10 @@ def group_links(stars: DataFrame, settled: DataFrame, texts: DataFrame) -> DataF
 
 
 def near_links(one: DataFrame, texts: DataFrame, few: int = FEW) -> DataFrame:
-    """Links (a, b) whose components are those of all near pairs; ``one``: node, fp; ``texts``: node, text."""
+    """Links (a, b) whose components are those of all near pairs; ``one``: node, fp; ``texts``: node, text, one row for each set of shingles.
+
+    A null text is the one without shingles, near to none but itself. No rows: no rows.
+    """
     checked = index_links(one, texts)
     settled = components(checked)
     common = one.sparkSession.sparkContext.broadcast(common_shingles(texts, one.count()))

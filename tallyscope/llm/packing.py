@@ -221,5 +221,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", drops_spaces: bool = True) -> DataFrame:
-    """Tokenise, cut and pack ``docs``; see ``token_pieces`` and ``pack``."""
+    """Tokenise, cut and pack ``docs``: a row per piece with its ids' place in the document, length, checksum, sequence and offset.
+
+    Null and empty texts are one piece, the end id; a text of any length is cut in pieces of ``capacity``. Repeated rows and ids, null
+    ids too, are packed row by row. No rows: no rows. Columns but the id and the text are left out, so no name can clash.
+    """
     return pack(staged(token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, drops_spaces), "pieces"), capacity)

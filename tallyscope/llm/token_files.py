@@ -3,41 +3,33 @@
 A set is a folder with, for each shard, ``.tok`` (unsigned 16- or 32-bit ids),
 ``.off`` (signed 64-bit, documents + 1: ids of the shard before each
 document, then all) and ``.doc`` (signed 64-bit document ids), all
-little-endian, and ``manifest.json``, which lists the shards in order with the
-prefix sums of their ids, documents and null document ids.
+little-endian, and ``manifest``, a Parquet table with a row for each shard: its place, name, numbers of
+documents, ids and null document ids, the type of its ids, and the ids before it (``base``), prefix sums over the shards.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import sys
 import zlib
-from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import python_ready
+from .common import discard, python_ready, staged
 from .encoding import encoder, slices
 
-MANIFEST = "manifest.json"
+MANIFEST = "manifest"
+SHARDS = "part long, name string, n_docs long, n_tokens long, n_null long, dtype string"
 #: Text of one shard; how many shards there are follows the table's size.
 SHARD_BYTES = 16 << 20
 LEAST_SHARDS = 16
-
-
-@dataclass(frozen=True)
-class Shard:
-    name: str
-    n_docs: int
-    n_tokens: int
-    n_null: int
-    base: int = 0
+#: Shards whose sums are added up in one step.
+RUN = 1024
 
 
 def filesystem(uri: str):
@@ -52,14 +44,14 @@ def filesystem(uri: str):
     return found, path, False
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", drops_spaces: bool = False, dtype: str = "<u2", shard_bytes: int = SHARD_BYTES) -> list[Shard]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", drops_spaces: bool = False, dtype: str = "<u2", shard_bytes: int = SHARD_BYTES) -> None:
     """Encode whole texts in ascending id order, end each with ``end_id``, and write the files.
 
     Documents are dealt to range partitions of their id; each task streams
     its sorted documents to files whose names hold the task attempt, so a
     retried or doubled task never mixes with another, and only finished
-    attempts reach the manifest. The driver sees one row per shard and turns
-    the shards' counts into prefix sums. Memory is bounded by the slices.
+    attempts reach the manifest: a task's row is written by Spark. The shards' bases
+    are prefix sums in two steps, over runs of shards and within each; the driver sees the text's size alone. Memory is bounded by the slices.
 
     Null or empty text: only the end id. Null ids stand first; equal ids stand
     in order of text. No rows: a manifest without ids. An id that ``dtype``
@@ -87,21 +79,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                     off.write(ends.astype("<i8").tobytes())
                     doc.write(ids.slice(start, len(texts)).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                     at, n_docs = int(ends[-1]), n_docs + len(texts)
-        yield pa.RecordBatch.from_pydict({"part": [ctx.partitionId()], "name": [name], "n_docs": [n_docs], "n_tokens": [at], "n_null": [n_null]})
+        yield pa.RecordBatch.from_pydict({"part": [ctx.partitionId()], "name": [name], "n_docs": [n_docs], "n_tokens": [at], "n_null": [n_null], "dtype": [dtype]})
 
     files, root, _ = filesystem(folder)
     files.create_dir(root, recursive=True)
     rows = python_ready(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     placed = rows.repartitionByRange(max(LEAST_SHARDS, -(-size // shard_bytes)), "id").sortWithinPartitions("id", "text")
-    rows = placed.mapInArrow(write, "part long, name string, n_docs long, n_tokens long, n_null long").collect()
-    shards, base = [], 0
-    for r in sorted(rows, key=lambda r: r.part):
-        shards.append(Shard(r.name, r.n_docs, r.n_tokens, r.n_null, base))
-        base += r.n_tokens
-    with files.open_output_stream(f"{root}/{MANIFEST}") as out:
-        out.write(json.dumps({"dtype": dtype, "shards": [asdict(s) for s in shards]}).encode())
-    return shards
+    shards = staged(placed.mapInArrow(write, SHARDS), "token-shards")
+    ran = shards.withColumn("run", F.floor(F.col("part") / RUN).cast("long"))
+    earlier = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = ran.groupBy("run").agg(F.sum("n_tokens").alias("n_tokens")).select("run", earlier(Window.orderBy("run")).alias("base"))
+    within = ran.withColumn("here", earlier(Window.partitionBy("run").orderBy("part")))
+    within.join(bases, "run").select(*shards.columns, (F.col("base") + F.col("here")).alias("base")).write.mode("overwrite").parquet(f"{folder}/{MANIFEST}")
+    discard(shards)
 
 
 class Ranges:
@@ -123,34 +114,28 @@ class Ranges:
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document, read from the files alone: doc_id, start, n_tokens, ids_crc32.
 
-    Each shard is a task of its own; ids are mapped, or read by ranges where the file isn't local, and the
+    A task reads the shards whose manifest rows it gets, about one each; ids are mapped, or read by ranges where the file isn't local, and the
     checksum (of the ids as little-endian unsigned 32-bit integers) goes
     document by document.
     """
-    files, root, _ = filesystem(folder)
-    with files.open_input_stream(f"{root}/{MANIFEST}") as f:
-        manifest = json.loads(f.read())
-    dtype, shards = manifest["dtype"], [Shard(**s) for s in manifest["shards"]]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not shards:
-        return spark.createDataFrame([], schema)
+    manifest = spark.read.schema(f"{SHARDS}, base long").parquet(f"{folder}/{MANIFEST}").where("n_docs > 0")
 
     def read(batches):
         files, root, local = filesystem(folder)
-        for k in (k for batch in batches for k in batch.column(0).to_pylist()):
-            s = shards[k]
-            tok, off, doc = (Ranges(files, f"{root}/{s.name}.{x}", local, t) for x, t in (("tok", dtype), ("off", "<i8"), ("doc", "<i8")))
-            for a in range(0, s.n_docs, 4096):
-                b = min(a + 4096, s.n_docs)
+        for s in (r for batch in batches for r in batch.to_pylist()):
+            tok, off, doc = (Ranges(files, f"{root}/{s['name']}.{x}", local, t) for x, t in (("tok", s["dtype"]), ("off", "<i8"), ("doc", "<i8")))
+            for a in range(0, s["n_docs"], 4096):
+                b = min(a + 4096, s["n_docs"])
                 at = off[a : b + 1]
                 crc = [zlib.crc32(tok[int(i) : int(j)].astype("<u4").tobytes()) for i, j in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(doc[a:b]), pa.int64(), mask=np.arange(a, b) < s.n_null), pa.array(s.base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
+                    [pa.array(np.asarray(doc[a:b]), pa.int64(), mask=np.arange(a, b) < s["n_null"]), pa.array(s["base"] + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
     ship(spark)
-    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, schema)
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(read, schema)
 
 
 assert sys.byteorder == "little", "files are mapped as they are"

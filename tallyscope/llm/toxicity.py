@@ -193,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     2 * ``per_class`` of them, and they are broadcast: no text is shuffled. A word counts once
     for each document that has it, so that one document's favourites don't pass for its class's. The
     driver gets counts of letter n-grams of the documents chosen, and two features of each
-    document of the scale's quarter.
+    document of the scale's quarter. Labels that are neither 0 nor 1, or of a null id, teach nothing; of an id's labels the
+    larger holds; null and empty texts have no grams. Without labels: None.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold_of(F.col("id"), FOLDS) != HELD_OUT))
     rows = rows.groupBy("id").agg(F.max("y").alias("y"))

@@ -5,15 +5,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 from tallyscope.llm import language_id, mixing, toxicity
-from tallyscope.llm.common import table
+from tallyscope.llm.common import n_staged, table
 
 from .test_near_copies import brute_kept
-from .test_operators import multiset
+from .test_operators import awkward_rows, multiset
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,7 +72,41 @@ def test_stages(spark):
     assert len(sequences) <= -(-total // corpus_pipeline.CAPACITY) + 2
 
 
+def test_run_is_the_stages_in_a_row(spark):
+    docs = table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    held = ("doc_id", "piece", "start", "length", "ids_crc32")
+    mark = n_staged()
+    got = corpus_pipeline.run(spark, SF)
+    assert multiset(map(tuple, got.select(*held).collect())) == multiset(map(tuple, docs.select(*held).collect()))
+    assert n_staged() - mark <= 4  # the last stage's tables: what the others needed is gone
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_rows(spark, name):
+    """Null ids, texts, sources; empty and long texts; repeated rows; clashing columns; no rows at all."""
+    rows = [(*r[:4], None if k % 2 else 3, "x", 1, 2.0, "g", "m") for k, r in enumerate(awkward_rows())]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, AGAIN string, language int, `a.b` double, Component_Id string, near_set string"
+    docs = spark.createDataFrame(rows, schema)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, SF)
+    found = got.collect()
+    if name == "packing":
+        assert collections.Counter(r.doc_id for r in found if r.piece == 0) == collections.Counter(r[0] for r in rows)
+    else:
+        assert got.columns == docs.columns
+        kept, given = multiset(map(tuple, found)), multiset(map(tuple, docs.collect()))
+        assert set(kept) <= set(given) and (name == "mixing" or kept <= given) and (kept or name == "language_id")
+    if name == "language_id":
+        assert all(any(c.isalpha() for c in r.text) for r in found)
+    if name == "mixing":
+        assert max(multiset(map(tuple, found)).values()) <= 2 * max(multiset(map(tuple, docs.collect())).values())
+    none = stage(spark, docs.limit(0), SF)
+    assert none.count() == 0 and none.columns == got.columns
+
+
 def test_registration():
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert {n.split("_")[0] for n in queries if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in queries and set(oracles) <= set(queries)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.llm import language_id, mixing, near_copies, packing, toxicity
-from tallyscope.llm.common import discard, fresh, staged, table
+from tallyscope.llm.common import discard, discard_since, fresh, n_staged, staged, table
 from tallyscope.llm.queries import CAPACITY, PACK_END
 
 
@@ -68,10 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each one's rows written and read again; a stage's table goes once the next is written."""
+    """All stages on ``documents``, each one's rows written and read again; what a stage needed on its way goes with it, and its table once the next is written."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        mark = n_staged()
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard_since(mark, docs)
         if before is not None:
             discard(before)
         before = docs

@@ -36,14 +36,21 @@ SHORT = 48
 AT_ONCE = 200_000
 #: Least probability of a character that no piece of one character covers.
 LEAST = 1e-12
-#: Word characters that are neither letters nor decimal digits: fractions, superscripts, circled and Roman numerals.
+#: Runs of word characters but decimal digits; a few of them hold fractions, superscripts, circled or Roman numerals, which are no letters.
+_RUNS = re.compile(r"[^\W\d_]+")
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_LETTERS = re.compile(f"[^{_NUMERALS}]+")
 
 
 def letter_words(text: str | None) -> list[str]:
     """Lower-cased runs of letters (Unicode's category L), marked at their start."""
-    return [SPACE + w for w in _LETTERS.findall((text or "").lower())]
+    out = []
+    for w in _RUNS.findall((text or "").lower()):
+        if w.isalpha():
+            out.append(SPACE + w)
+        else:
+            out += [SPACE + x for x in _LETTERS.findall(w)]
+    return out
 
 
 def letter_pieces(model_path: str) -> list[str]:

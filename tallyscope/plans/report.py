@@ -25,17 +25,19 @@ def bar_slots(shares: list[float]) -> list[int]:
     return fit_slots([0 if not p else max(1, int(round_half_away(p / 2))) for p in shares])
 
 
-#: How far the two largest bars may be apart before the largest takes a change, when slots go and when they come.
-NEAR = {-1: 3, 1: 5}
+#: How far the two largest bars may be apart for slots to be taken from the second as well.
+NEAR = 3
 
 
 def fit_slots(slots: list[int]) -> list[int]:
-    """``slots`` with the sum SLOTS; only the two largest bars change: first the largest, then the other as long as they are near."""
+    """``slots`` with the sum SLOTS. A slot that is missing goes to the largest bar (halves of four shares lack one at most); slots too many come
+    from the two largest: first the largest, then the other as long as they are near.
+    """
     slots, gap = list(slots), SLOTS - sum(slots)
-    step = 1 if gap > 0 else -1
     first, second = (sorted(range(len(slots)), key=lambda k: -slots[k]) * 2)[:2]
-    for n in range(abs(gap)):
-        slots[second if n and slots[first] - slots[second] <= NEAR[step] else first] += step
+    slots[first] += max(gap, 0)
+    for n in range(-gap):
+        slots[second if n and slots[first] - slots[second] <= NEAR else first] -= 1
     return slots
 
 

@@ -182,6 +182,8 @@ def test_report_maths():
     assert report.fit_slots([18, 15, 19, 1]) == [16, 15, 18, 1]
     assert report.bar_slots([33.33, 33.33, 33.34]) == [16, 17, 17]
     assert sum(report.bar_slots([0.01, 0.0, 50.0, 49.99])) == 50 and report.bar_slots([100.0]) == [50]
+    shares = [[a / 2, b / 2, c / 2, 100 - (a + b + c) / 2] for a in range(0, 100, 7) for b in range(0, 200 - a, 9) for c in range(0, 200 - a - b, 11)]
+    assert all(sum(max(1, int(formatting.round_half_away(p / 2))) if p else 0 for p in s) >= report.SLOTS - 1 and sum(report.bar_slots(s)) == report.SLOTS for s in shares)
     assert report.percentages([20, 20, 20]) == [33.33, 33.33, 33.34]
     assert report.percentages([100, 100, 100, 0]) == [33.33, 33.33, 33.33, 0.01]
     assert report.percentages([201, 200, 200, 0]) == [33.44, 33.28, 33.28, 0.0]

@@ -105,10 +105,12 @@ def _commit(spark: SparkSession, table: str, rows: DataFrame, newest: datetime,
         raise OSError(f"could not add a run to {table}")
 
 
-def append_entry(spark: SparkSession, table: str, entry: dict) -> None:
-    """Add a run (LOGGED) to the table; nothing that is there is read or rewritten, so any number of runs may do so at once."""
+def append_entry(spark: SparkSession, table: str, entry: dict, mark: str | None = None) -> None:
+    """Add a run (LOGGED) to the table; nothing that is there is read or rewritten, so any number of runs may do so at once. A run whose ``mark`` is there already is not added again."""
+    if mark is not None and any(name.endswith(f"-{mark}") for name in runs(spark, table)):
+        return
     row = tuple(entry.get(c.split()[0]) for c in LOGGED.split(", "))
-    _commit(spark, table, spark.createDataFrame([row], LOGGED), entry["ts"], uuid.uuid4().hex[:12])
+    _commit(spark, table, spark.createDataFrame([row], LOGGED), entry["ts"], mark or uuid.uuid4().hex[:12])
 
 
 def import_text(spark: SparkSession, table: str, text: str) -> None:

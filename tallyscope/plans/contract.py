@@ -22,6 +22,7 @@ from ..sources.code_files import list_files
 from ..sources.globs import exclude_regex
 from ..sources.listing import ListOptions
 from ..staging import new_path
+from ..streaming import growth
 from . import cases, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,9 +234,9 @@ def lexer_quirks_by_construction(spark, sf_dir):
     return _cases(spark, sf_dir, cases.QUIRKS)
 
 
-def _grown(spark: SparkSession, rows: DataFrame, label: str) -> str:
-    """A folder of files made from ``rows`` (path, text), written by the tasks that have them; it goes when the driver ends."""
-    root = new_path(spark, label).removeprefix("file:")
+def _grown(spark: SparkSession, rows: DataFrame, label: str, root: str | None = None) -> str:
+    """A folder of files made from ``rows`` (path, text), written by the tasks that have them; it goes when the driver ends. In a given ``root`` files are replaced, and removed if their text is null."""
+    root = root or new_path(spark, label).removeprefix("file:")
     if not root.startswith("/"):
         raise RuntimeError("files are scanned where all machines mount them; set spark.checkpoint.dir to such a folder")
     root = "/" + root.lstrip("/")
@@ -243,6 +244,9 @@ def _grown(spark: SparkSession, rows: DataFrame, label: str) -> str:
     def write(batches):
         for batch in batches:
             for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if text is None:
+                    os.remove(f"{root}/{path}")
+                    continue
                 os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
                 with open(f"{root}/{path}", "wb") as f:
                     f.write(text.encode())
@@ -278,6 +282,29 @@ def scan_of_a_document_tree(spark, sf_dir):
     return run.files.select(F.regexp_extract("path", r"(-?[0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "bytes", "lines", "code_lines")
 
 
+_EDITED = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || 'one more' ELSE text END AS text FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0)"
+
+
+@query(f"""SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, {_LINES}::BIGINT AS lines, {_CODE}::BIGINT AS code_lines, count(*) FILTER (doc_id % 7 = 0) OVER () AS n_read,
+count(*) FILTER (doc_id % 7 <> 0) OVER () AS n_carried, (SELECT count(*) FROM documents WHERE text IS NOT NULL AND doc_id % 11 = 0) AS n_gone FROM {_EDITED}""")
+def growth_of_a_document_tree(spark, sf_dir):
+    """A tree of all documents followed by a stream: counted, then edited, then brought up to date, where only the edited files are read again."""
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    path = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), "doc_id", F.lit(".txt")).alias("path")
+    root, folder, changes = _grown(spark, docs.select(path, "text"), "followed-tree"), new_path(spark, "followed"), []
+
+    def follow():
+        growth.follow(spark, [root], {"Prose": _PROSE}, DEFAULTS, folder, settle=0, on_change=changes.append).awaitTermination()
+
+    follow()
+    edited = F.when(F.col("doc_id") % 11 != 0, F.concat("text", F.lit("\none more")))
+    _grown(spark, docs.where("doc_id % 7 = 0 OR doc_id % 11 = 0").select(path, edited.alias("text")), "", root)
+    follow()
+    did = changes[-1]
+    counts = [F.lit(n).cast("long").alias(f"n_{c}") for c, n in (("read", did.read), ("carried", did.carried), ("gone", did.gone))]
+    return growth.current(spark, folder).select(F.regexp_extract("path", r"(-?[0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "bytes", "lines", "code_lines", *counts)
+
+
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
 

@@ -69,6 +69,22 @@ class Scan:
             (value if isinstance(value, DataFrame) else value()).createOrReplaceTempView(prefix + name)
 
 
+def count_files(files: DataFrame, sizes: dict[str, int], languages: dict[str, Language], options: Options, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, language, bytes, error, lines, code_lines, counts) of listed files (path, language, bytes).
+
+    ``sizes``: bytes, and of the files over ``range_bytes`` large (their number) and large_bytes. These are cut in ranges that tasks share, the others
+    are read whole, many to a task.
+    """
+    braces, keywords = bool(options.braces_as_code), not options.no_keywords
+    contents = read_contents(files.where(F.col("bytes") <= range_bytes), sizes["bytes"] - sizes["large_bytes"])
+    counted = lines.file_stats(contents, languages, braces, keywords, ["path", "language", "bytes", "error"])
+    if sizes["large"]:
+        tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-sizes["large_bytes"] // BYTES_PER_TASK))
+        ranges = file_ranges(files.where(F.col("bytes") > range_bytes), range_bytes).repartition(tasks, "path", "start")
+        counted = counted.unionByName(lines.range_stats(ranges, languages, braces, keywords))
+    return counted
+
+
 def scan(spark: SparkSession, targets: list[str], languages: dict[str, Language], options: Options, folder: str | None = None, range_bytes: int = RANGE_BYTES) -> Scan:
     """List, read and count ``targets``; the listing and the file statistics are written as Parquet in ``folder``, or in the shared folder.
 
@@ -84,13 +100,7 @@ def scan(spark: SparkSession, targets: list[str], languages: dict[str, Language]
         raise NoFilesError("no relevant files")
     # the dimension has a row per extension, and extensions come from definitions, not from data
     files = listing.where("status = 'relevant'").join(F.broadcast(extension_owners(dimension)), "ext")
-    braces, keywords, keep = bool(options.braces_as_code), not options.no_keywords, ["path", "language", "bytes", "error"]
-    contents = read_contents(files.where(F.col("bytes") <= range_bytes), listed["bytes"] - listed["large_bytes"])
-    counted = lines.file_stats(contents, kept, braces, keywords, keep)
-    if listed["large"]:
-        tasks = max(spark.sparkContext.defaultParallelism, -(-listed["large_bytes"] // BYTES_PER_TASK))
-        ranges = file_ranges(files.where(F.col("bytes") > range_bytes), range_bytes).repartition(tasks, "path", "start")
-        counted = counted.unionByName(lines.range_stats(ranges, kept, braces, keywords))
+    keywords, counted = not options.no_keywords, count_files(files, listed, kept, options, range_bytes)
     seen, valid = Observation(), F.col("lines").isNotNull()
     sums = [F.coalesce(F.sum(F.when(valid, F.col(c))), F.lit(0)).alias(c) for c in ("lines", "code_lines", "bytes")]
     counted.observe(seen, F.count_if(valid).alias("files"), F.count_if(~valid).alias("faulty"), *sums).write.mode("overwrite").parquet(f"{folder}/files")

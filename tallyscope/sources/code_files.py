@@ -54,6 +54,9 @@ class CodeFiles(DataSource):
 
 
 class CodeFilesReader(DataSourceReader):
+    #: Folders of a target that the driver opens.
+    driver_folders = 1
+
     def __init__(self, options):
         self.targets = json.loads(options["targets"])
         self.options = ListOptions(frozenset(json.loads(options.get("extensions", "[]"))), options.get("exclude") or None, options.get("dotted") == "true", options.get("gitignore") != "false")
@@ -64,7 +67,7 @@ class CodeFilesReader(DataSourceReader):
         for target in self.targets:
             if os.path.isdir(target):
                 stack = IgnoreStack.for_target(target) if self.options.gitignore else IgnoreStack()
-                here += walk(target, self.options, stack, lambda *found: parts.append(Part((), *found)))
+                here += walk(target, self.options, stack, lambda *found: parts.append(Part((), *found)), budget=self.driver_folders)
             else:
                 here += list_target(target, self.options)
         return [Part(tuple(here)), *parts]
@@ -96,14 +99,17 @@ class PushdownReader(CodeFilesReader):
                 yield f
 
 
+def source_options(targets: list[str], options: ListOptions) -> dict[str, str]:
+    given = {"targets": json.dumps(targets), "extensions": json.dumps(sorted(options.extensions)), "dotted": str(options.dotted).lower(), "gitignore": str(options.gitignore).lower()}
+    return given | ({"exclude": options.exclude} if options.exclude else {})
+
+
 def code_files(spark: SparkSession, targets: list[str], options: ListOptions) -> DataFrame:
     """The data source over ``targets``, for SQL on a tree that is not kept."""
     ship(spark)
     spark.dataSource.register(CodeFiles)
-    reader = spark.read.format("code_files").option("targets", json.dumps(targets)).option("extensions", json.dumps(sorted(options.extensions)))
-    reader = reader.option("dotted", str(options.dotted).lower()).option("gitignore", str(options.gitignore).lower())
-    reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
-    return (reader.option("exclude", options.exclude) if options.exclude else reader).load()
+    reader = spark.read.format("code_files").options(**source_options(targets, options))
+    return reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load()
 
 
 def _folder(path: str, stack: IgnoreStack, way) -> tuple:

@@ -46,12 +46,13 @@ class ListOptions:
 
 @dataclass(frozen=True)
 class Entry:
-    """A file: ``status`` is relevant, excluded or other (an extension of no language)."""
+    """A file: ``status`` is relevant, excluded or other (an extension of no language); ``stamp``: when a relevant one or its name last changed, in nanoseconds."""
 
     path: str
     ext: str | None
     bytes: int
     status: str
+    stamp: int = 0
 
 
 def extension(path: str) -> str | None:
@@ -144,6 +145,10 @@ def walk(folder: str, options: ListOptions, stack: IgnoreStack, on_folder=None,
                     todo.append((path, own, way | {real}))
 
 
+def _relevant(path: str, ext: str, found: os.stat_result) -> Entry:
+    return Entry(path, ext, found.st_size, "relevant", max(found.st_mtime_ns, found.st_ctime_ns))
+
+
 def _entry(path: str, e: os.DirEntry, options: ListOptions, excluded: re.Pattern | None, own: IgnoreStack) -> Entry:
     ext = extension(e.name)
     if ext is None or ext not in options.extensions:
@@ -151,7 +156,7 @@ def _entry(path: str, e: os.DirEntry, options: ListOptions, excluded: re.Pattern
     if (excluded and excluded.match(path)) or own.ignores(path, False):
         return Entry(path, ext, 0, "excluded")
     try:
-        return Entry(path, ext, e.stat().st_size, "relevant")
+        return _relevant(path, ext, e.stat())
     except OSError:
         return Entry(path, ext, 0, "relevant")
 
@@ -162,5 +167,5 @@ def list_target(target: str, options: ListOptions) -> Iterator[Entry]:
         yield from walk(target, options, IgnoreStack.for_target(target) if options.gitignore else IgnoreStack())
     else:
         ext = extension(target)
-        if ext in options.extensions and options.wants(found := Entry(target, ext, os.path.getsize(target), "relevant")):
+        if ext in options.extensions and options.wants(found := _relevant(target, ext, os.stat(target))):
             yield found

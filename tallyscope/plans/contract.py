@@ -290,7 +290,7 @@ count(*) FILTER (doc_id % 7 <> 0) OVER () AS n_carried, (SELECT count(*) FROM do
 def growth_of_a_document_tree(spark, sf_dir):
     """A tree of all documents followed by a stream: counted, then edited, then brought up to date, where only the edited files are read again."""
     docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    path = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), "doc_id", F.lit(".txt")).alias("path")
+    path = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/d"), F.pmod("doc_id", F.lit(256)), F.lit("/"), "doc_id", F.lit(".txt")).alias("path")
     root, folder, changes = _grown(spark, docs.select(path, "text"), "followed-tree"), new_path(spark, "followed"), []
 
     def follow():

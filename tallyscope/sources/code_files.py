@@ -18,7 +18,7 @@ from .listing import Entry, ListOptions, list_target, walk
 
 LISTING = "path string, ext string, bytes long, status string"
 #: A listing in progress: a folder that no round has opened yet has the status ``folder``, where its ignore files are, and the real paths above it.
-FRONTIER = f"{LISTING}, ignores array<string>, way array<string>"
+FRONTIER = f"{LISTING}, stamp long, ignores array<string>, way array<string>"
 #: Folders that a round opens for each folder it is given; the first rounds are short, to spread what they find.
 FIRST_FOLDERS, ROUND_FOLDERS = 16, 2000
 #: About as many bytes of files are read by one task.
@@ -54,9 +54,6 @@ class CodeFiles(DataSource):
 
 
 class CodeFilesReader(DataSourceReader):
-    #: Folders of a target that the driver opens.
-    driver_folders = 1
-
     def __init__(self, options):
         self.targets = json.loads(options["targets"])
         self.options = ListOptions(frozenset(json.loads(options.get("extensions", "[]"))), options.get("exclude") or None, options.get("dotted") == "true", options.get("gitignore") != "false")
@@ -67,7 +64,7 @@ class CodeFilesReader(DataSourceReader):
         for target in self.targets:
             if os.path.isdir(target):
                 stack = IgnoreStack.for_target(target) if self.options.gitignore else IgnoreStack()
-                here += walk(target, self.options, stack, lambda *found: parts.append(Part((), *found)), budget=self.driver_folders)
+                here += walk(target, self.options, stack, lambda *found: parts.append(Part((), *found)))
             else:
                 here += list_target(target, self.options)
         return [Part(tuple(here)), *parts]
@@ -113,11 +110,11 @@ def code_files(spark: SparkSession, targets: list[str], options: ListOptions) ->
 
 
 def _folder(path: str, stack: IgnoreStack, way) -> tuple:
-    return (path, None, 0, "folder", stack.folders, sorted(way))
+    return (path, None, 0, "folder", 0, stack.folders, sorted(way))
 
 
-def list_files(spark: SparkSession, targets: list[str], options: ListOptions, path: str | None = None, large: int = RANGE_BYTES, first_folders: int = FIRST_FOLDERS, round_folders: int = ROUND_FOLDERS) -> tuple[DataFrame, dict[str, int]]:
-    """(LISTING of all files below ``targets``, how many there are: total, relevant, excluded; of the relevant ones bytes, and number and bytes of those over ``large``).
+def list_files(spark: SparkSession, targets: list[str], options: ListOptions, path: str | None = None, large: int = RANGE_BYTES, first_folders: int = FIRST_FOLDERS, round_folders: int = ROUND_FOLDERS, stamps: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """(LISTING of all files below ``targets``, and ``stamp`` if asked for; how many there are: total, relevant, excluded; of the relevant ones bytes, and number and bytes of those over ``large``).
 
     The folders still to open are a table, dealt out anew each round: a task opens a bounded number of folders for each one it
     gets and writes down the files, and the folders it came to beyond that, which are the next round's table. So a tree
@@ -131,7 +128,7 @@ def list_files(spark: SparkSession, targets: list[str], options: ListOptions, pa
         if os.path.isdir(target):
             rows.append(_folder(target, IgnoreStack.for_target(target) if options.gitignore else IgnoreStack(), ()))
         else:
-            rows += [(e.path, e.ext, e.bytes, e.status, None, None) for e in list_target(target, options)]
+            rows += [(e.path, e.ext, e.bytes, e.status, e.stamp, None, None) for e in list_target(target, options)]
 
     def opened(budget: int):
         def run(batches):
@@ -139,7 +136,7 @@ def list_files(spark: SparkSession, targets: list[str], options: ListOptions, pa
                 for r in batch.to_pylist():
                     ahead: list[tuple] = []
                     stack = IgnoreStack.of_folders(r["ignores"])
-                    out = [(e.path, e.ext, e.bytes, e.status, None, None) for e in walk(r["path"], options, stack, lambda *f: ahead.append(_folder(*f)), frozenset(r["way"]), budget)]
+                    out = [(e.path, e.ext, e.bytes, e.status, e.stamp, None, None) for e in walk(r["path"], options, stack, lambda *f: ahead.append(_folder(*f)), frozenset(r["way"]), budget)]
                     out += ahead
                     for at in range(0, len(out), 10_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 10_000]), kinds)], names)
@@ -147,7 +144,7 @@ def list_files(spark: SparkSession, targets: list[str], options: ListOptions, pa
         return run
 
     names = [f.split()[0] for f in FRONTIER.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
     counts = dict.fromkeys(("total", "relevant", "excluded", "bytes", "large", "large_bytes"), 0)
     status, size, n = F.col("status"), F.when(F.col("status") == "relevant", F.col("bytes")), 0
     table, left = spark.createDataFrame(rows, FRONTIER), 1
@@ -165,7 +162,7 @@ def list_files(spark: SparkSession, targets: list[str], options: ListOptions, pa
         table = here.where(status == "folder").repartition(tasks, "path").mapInArrow(opened(first_folders if n < 2 else round_folders), FRONTIER)
         n += 1
     listing = spark.read.schema(FRONTIER).parquet(*[f"{path}/round={k}" for k in range(n)]).where(status != "folder")
-    return listing.select("path", "ext", "bytes", "status"), counts
+    return listing.select("path", "ext", "bytes", "status", *(["stamp"] if stamps else [])), counts
 
 
 def _read(batches):

@@ -1,12 +1,13 @@
-"""Trees followed as they change: a stream of listings, and file statistics that are kept up to date from batch to batch.
+"""Trees followed as they change: file statistics that a stream keeps up to date from batch to batch.
 
-Each batch lists the tree; only files that are new or changed since the kept table was written are
+Each batch lists the tree, by rounds over a frontier as a scan does; only files that are new or changed since the kept table was written are
 read, the others' rows are carried over, and rows of files that went are dropped. The
 table has a row of numbers per file, so writing it anew is small beside reading the files.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import uuid
@@ -17,21 +18,20 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Options
 from ..languages import Language, extension_owners, language_frame, select_languages
 from ..operators import history, stats
 from ..plans.scan import count_files
-from ..shipping import ship
-from ..sources.code_files import LISTING, RANGE_BYTES, CodeFilesReader, source_options
+from ..sources.code_files import LISTING, RANGE_BYTES, list_files
 from ..sources.globs import exclude_regex
-from ..sources.listing import ListOptions, walk
+from ..sources.listing import ListOptions
 from ..staging import new_path, remove, staged
 
-#: A file, when it or its name last changed, and when its listing began, in nanoseconds.
-SEEN = f"{LISTING}, stamp long, seen long"
+#: A file and when it or its name last changed, in nanoseconds.
+SEEN = f"{LISTING}, stamp long"
 #: File statistics as kept; ``settled``: the file had been left alone for a while when it was listed.
 KEPT = "path string, language string, bytes long, stamp long, settled boolean, error string, lines long, code_lines long, counts array<long>"
 #: A file changed within so many seconds before its listing may change again under the same stamp, so it is read again next time.
@@ -40,30 +40,26 @@ SETTLE = 2.0
 SAME = ["path", "language", "bytes", "stamp"]
 
 
-class CodeGrowth(DataSource):
-    """``format("code_growth")``: a stream that lists all files below ``targets`` in every batch, as ``code_files`` does once.
+class Rounds(DataSource):
+    """``format("code_rounds")``: a stream that has a batch whenever its trigger asks, a row for each of the option ``targets`` and the time of asking, which is the offset.
 
-    An offset is the time at which a batch's listing began. A target that is gone has no files.
+    What a batch does with them is shared by tasks; the stream itself opens no folder.
     """
 
     @classmethod
     def name(cls) -> str:
-        return "code_growth"
+        return "code_rounds"
 
     def schema(self) -> str:
-        return SEEN
+        return "target string, at long"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return GrowthReader(self.options)
+        return RoundsReader(self.options)
 
 
-class GrowthReader(DataSourceStreamReader):
-    #: The driver opens so many folders of a target and hands the folders beyond to tasks.
-    driver_folders = 64
-
+class RoundsReader(DataSourceStreamReader):
     def __init__(self, options):
-        self.source = CodeFilesReader(options)
-        self.source.driver_folders = self.driver_folders
+        self.targets = json.loads(options["targets"])
 
     def initialOffset(self) -> dict:
         return {"at": 0}
@@ -72,22 +68,12 @@ class GrowthReader(DataSourceStreamReader):
         return {"at": time.time_ns()}
 
     def partitions(self, start: dict, end: dict):
-        self.source.targets = [t for t in self.source.targets if os.path.exists(t)]
-        parts = self.source.partitions()
-        for part in parts:
-            part.seen = end["at"]
-        return parts
+        return [InputPartition((self.targets, end["at"]))]
 
     def read(self, part):
-        found = part.rows if part.folder is None else walk(part.folder, self.source.options, part.stack, None, part.way)
-        for e in found:
-            yield (e.path, e.ext, e.bytes, e.status, e.stamp, part.seen)
-
-
-def code_growth(spark: SparkSession, targets: list[str], options: ListOptions) -> DataFrame:
-    ship(spark)
-    spark.dataSource.register(CodeGrowth)
-    return spark.readStream.format("code_growth").options(**source_options(targets, options)).load()
+        targets, at = part.value
+        for target in targets:
+            yield (target, at)
 
 
 @dataclass(frozen=True)
@@ -123,8 +109,8 @@ def _totals(kept: DataFrame) -> dict[str, int]:
     return found | {"extra_lines": found["lines"] - found["code_lines"], "average_bytes": found["bytes"] // found["files"] if found["files"] else 0}
 
 
-def absorb(listing: DataFrame, batch: int, folder: str, languages: dict[str, Language], options: Options, settle: float = SETTLE, range_bytes: int = RANGE_BYTES) -> Change:
-    """Bring the table in ``folder`` up to ``listing`` (SEEN, one row per path), as version ``batch``.
+def absorb(listing: DataFrame, seen: int, batch: int, folder: str, languages: dict[str, Language], options: Options, settle: float = SETTLE, range_bytes: int = RANGE_BYTES) -> Change:
+    """Bring the table in ``folder`` up to ``listing`` (SEEN, one row per path, made from the time ``seen`` on, in nanoseconds), as version ``batch``.
 
     The new version is written aside and renamed, so it is there whole or not at all, and a batch
     that is run again finds it and changes nothing. Without any change nothing is written. The version before stays for
@@ -137,19 +123,18 @@ def absorb(listing: DataFrame, batch: int, folder: str, languages: dict[str, Lan
         return Change(batch, 0, 0, kept.count(), 0, _totals(kept), True)
     old = current(spark, folder)
     owners = F.broadcast(extension_owners(language_frame(spark, languages)))
-    settled = F.col("stamp") < F.col("seen") - int(settle * 1e9)
-    # staged, as a stream's batch is listed anew each time it is asked for
+    settled = F.col("stamp") < F.lit(seen - int(settle * 1e9))
     aside = [new_path(spark, "growth-listing"), new_path(spark, "growth-changed")]
     now = staged(listing.where("status = 'relevant'").join(owners, "ext").select(*SAME, settled.alias("settled")), "", aside[0])
     before = old.select(*SAME, F.col("settled").alias("was_settled"))
     found = now.join(before, SAME, "left")
-    seen, size, large = Observation(), F.col("bytes"), F.col("bytes") > range_bytes
+    watch, size, large = Observation(), F.col("bytes"), F.col("bytes") > range_bytes
     marked = found.where("NOT coalesce(was_settled, false)").observe(
-        seen, F.count("*").alias("read"), F.count_if(F.col("was_settled").isNull()).alias("new"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
+        watch, F.count("*").alias("read"), F.count_if(F.col("was_settled").isNull()).alias("new"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
         F.count_if(large).alias("large"), F.coalesce(F.sum(F.when(large, size)), F.lit(0)).alias("large_bytes"),
     )
     changed = staged(marked.select(*SAME, "settled"), "", aside[1])
-    got = dict(seen.get)
+    got = dict(watch.get)
     same = old.where("settled").join(now.select(*SAME), SAME, "left_semi")
     gone = old.join(now.select("path"), "path", "left_anti").count()
     carried = same.count()
@@ -191,8 +176,11 @@ def follow(
     wanted = frozenset(x for language in kept.values() for x in language.extensions)
     given = ListOptions(wanted, exclude_regex(options.exclude or []), bool(options.search_in_dotted), not options.no_gitignore)
 
-    def step(listing: DataFrame, batch: int) -> None:
-        change = absorb(listing, batch, folder, kept, options, settle, range_bytes)
+    def step(round_: DataFrame, batch: int) -> None:
+        seen, here, aside = time.time_ns(), [r.target for r in round_.collect() if os.path.exists(r.target)], new_path(spark, "growth-listed")
+        listing, _ = list_files(spark, here, given, aside, range_bytes, stamps=True)
+        change = absorb(listing, seen, batch, folder, kept, options, settle, range_bytes)
+        remove(spark, aside)
         if log is not None and (change.new or change.gone or change.again):
             entry = {"name": options.log or None, "ts": datetime.now(timezone.utc)} | {c: change.totals[c] for c in ("files", "lines", "code_lines", "extra_lines", "bytes", "average_bytes")}
             config = {"dirs": targets, "exclude": options.exclude, "languages": options.languages, "excluded_languages": options.exclude_languages, "braces_as_code": options.braces_as_code, "search_in_dotted": options.search_in_dotted}
@@ -200,5 +188,7 @@ def follow(
         if on_change is not None:
             on_change(change)
 
-    stream = code_growth(spark, targets, given).writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/stream")
+    spark.dataSource.register(Rounds)
+    rounds = spark.readStream.format("code_rounds").option("targets", json.dumps(targets)).load()
+    stream = rounds.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/stream")
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()

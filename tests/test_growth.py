@@ -101,7 +101,7 @@ def test_a_batch_run_again_changes_nothing(spark, tree, tmp_path):
     follow()
     write(tree / "d3" / "new.py", "z\n")
     listing = spark.createDataFrame([], growth.SEEN)
-    change = growth.absorb(listing, 0, str(follow.folder), LANGUAGES, DEFAULTS)
+    change = growth.absorb(listing, 0, 0, str(follow.folder), LANGUAGES, DEFAULTS)
     assert change.again and change.carried == 14 and change.totals["files"] == 13 and growth.current(spark, str(follow.folder)).count() == 14
     os.makedirs(follow.folder / "_writing-other")  # of a driver that ended
     assert follow() == (1, 1, 14, 0)
@@ -125,12 +125,8 @@ def test_followed_until_stopped(spark, tree, tmp_path):
     assert query.exception() is None and any(c.new == 1 and c.carried == 14 for c in changes)
 
 
-def test_a_stream_of_listings(spark, tree):
-    names = sorted(os.path.relpath(os.path.join(at, f), tree) for at, _, found in os.walk(tree) for f in found)
-    reader = growth.GrowthReader({"targets": f'["{tree}", "{tree}/gone"]', "extensions": '["py", "java"]'})
-    reader.source.driver_folders = 1
+def test_rounds_open_no_folder(monkeypatch):
+    monkeypatch.setattr(os, "scandir", None)
+    reader = growth.RoundsReader({"targets": '["/a", "/b"]'})
     assert reader.initialOffset() == {"at": 0} and reader.latestOffset()["at"] > 0
-    parts = reader.partitions({"at": 0}, {"at": 5})
-    rows = [r for p in parts for r in reader.read(p)]
-    assert len(parts) == 4 and sorted(os.path.relpath(r[0], tree) for r in rows) == names and {r[5] for r in rows} == {5}
-    assert {r[3] for r in rows} == {"relevant", "other"} and all((r[4] > 0) == (r[3] == "relevant") for r in rows)
+    assert [r for p in reader.partitions({"at": 0}, {"at": 5}) for r in reader.read(p)] == [("/a", 5), ("/b", 5)]

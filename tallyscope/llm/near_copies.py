@@ -9,9 +9,12 @@ puts shingles last that a sample finds common, so a passage in many texts makes
 
 Shingles of few texts give their pairs. Texts linked by shingles of many
 are grouped, and each group's blocks are compared two at a time in a task, where
-only a spanning forest comes out; blocks of one settled component are not compared. Both
-ways count the shared shingles of the whole texts, so no link is missed and none is made below
-the limit.
+only a spanning forest comes out; blocks of one settled component are not compared. A group of too
+many texts isn't cut in blocks at once: the shingles of its texts are counted, all of them, and
+the texts are searched anew by their first shingles in the exact order, in which a passage that they share
+for other reasons comes last. What is still too large are texts that have nearly all in common: every block of it is held against a few
+of them, which settles most. All ways count the shared shingles of the whole texts, so no link is missed
+and none is made below the limit.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ SAMPLE, COMMON = 20_000, 2
 FEW = 32
 #: Texts of a block, and blocks of a group before blocks grow, up to the larger size.
 BLOCK, BLOCKS, LARGE_BLOCK = 256, 16, 1024
+#: A group of more texts is searched anew by exact counts; of what is left of it about so many texts, chosen by hash, meet all others, in so many rounds.
+WIDE, PIVOTS, ROUNDS = BLOCKS * LARGE_BLOCK, 32, 2
 #: Bits of the fingerprints that the index links.
 LIMIT = 3
 
@@ -149,13 +154,41 @@ def index_links(one: DataFrame, texts: DataFrame) -> DataFrame:
     return pair_links(same.unionByName(across), texts)
 
 
-def group_links(stars: DataFrame, settled: DataFrame, texts: DataFrame) -> DataFrame:
-    """Spanning forests (a, b) of the near pairs across ``settled`` (node, root) within each component of ``stars`` (a, b), by pairs of blocks.
+def members(stars: DataFrame) -> DataFrame:
+    """(node, root) for all nodes of ``stars`` (a, b), roots included."""
+    found = components(stars)  # without a row for the root itself
+    return staged(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "near-members")
+
 
-    Nodes of ``stars`` are distinct texts, each in ``texts``; a null text has no shingles. No stars: no rows. Within a group, a settled component that fills a block gets blocks of its own, and these aren't compared with each other.
+def pivot_links(groups: DataFrame, settled: DataFrame, texts: DataFrame, round_: int = 0) -> DataFrame:
+    """Near pairs (a, b) of each text of ``groups`` (node, root) with one of about ``PIVOTS`` texts of its group, those of the largest settled part left out once it fills a block.
+
+    Only a help: what this links needs no further look, what it doesn't link is compared later. A text is sent once, a pivot to each block of its group.
     """
-    found = components(stars)  # without a row for the root itself
-    groups = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    parts = groups.join(settled.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = parts.groupBy("root", "part").agg(F.count("*").alias("n"))
+    loose = F.sum(F.when(F.col("n") < LARGE_BLOCK, F.col("n")).otherwise(0)).alias("loose")
+    sums = sizes.groupBy("root").agg(F.sum("n").alias("all"), loose).where(F.col("loose") > LARGE_BLOCK)
+    sums = sums.withColumn("m", F.ceil(F.col("all") / LARGE_BLOCK).cast("int"))
+    noted = spread_join(parts.join(sizes.where(F.col("n") >= LARGE_BLOCK).select("root", "part", F.lit(True).alias("full")), ["root", "part"], "left"), sums, "root", "all", groups.count())
+    chance = F.pmod(F.xxhash64(F.lit(round_), F.col("node")), F.col("loose")) < PIVOTS
+    noted = staged(noted.select("node", "root", "m", (chance & F.col("full").isNull()).alias("pivot"), F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("block")), "near-pivots")
+    each = noted.where("pivot").select("node", "root", "pivot", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("block"))
+    dealt = noted.select("node", "root", F.lit(False).alias("pivot"), "block").unionByName(each).join(texts, "node")
+
+    def link(key, table):
+        node, pivot = table.column("node").to_numpy(), table.column("pivot").to_numpy(zero_copy_only=False)
+        sets = [shingles(t.as_py()) for t in table.column("text")]
+        one, two = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+        a, b = block_links([sets[k] for k in one], [sets[k] for k in two])
+        node = node[np.concatenate([one, two])]
+        return pa.table({"a": node[a], "b": node[b]})
+
+    return staged(dealt.groupBy("root", "block").applyInArrow(link, "a long, b long").where("a <> b"), "near-pivot-links")
+
+
+def block_pairs(groups: DataFrame, settled: DataFrame) -> DataFrame:
+    """(node, root, x, y, left): the pairs of blocks that each text of ``groups`` (node, root) is in; blocks of one part of ``settled`` (node, root) don't meet."""
     known = settled.select("node", F.col("root").alias("part"))
     groups = staged(groups.join(known, "node", "left").select("node", "root", F.coalesce("part", "node").alias("part")), "near-groups")
     parts = groups.groupBy("root", "part").agg(F.count("*").alias("n"))
@@ -172,7 +205,15 @@ def group_links(stars: DataFrame, settled: DataFrame, texts: DataFrame) -> DataF
     apart = lambda x, y: ~(x["own"] & y["own"] & (x["owner"] == y["owner"]))
     meets = blocks.join(every, "root").select("root", "home", F.explode(F.filter("homes", lambda y: apart(F.col("home"), y))).alias("to"))
     dealt = homes.join(meets, ["root", "home"]).select("node", "root", "home", F.least("home", "to").alias("x"), F.greatest("home", "to").alias("y"))
-    dealt = dealt.join(texts, "node").select("node", "text", "root", "x", "y", (F.col("home") == F.col("x")).alias("left"))
+    return dealt.select("node", "root", "x", "y", (F.col("home") == F.col("x")).alias("left"))
+
+
+def group_links(groups: DataFrame, settled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Spanning forests (a, b) of the near pairs across ``settled`` (node, root) within each group of ``groups`` (node, root), by pairs of blocks.
+
+    Nodes are distinct texts, each in ``texts``; a null text has no shingles. No groups: no rows. Within a group, a settled component that fills a block gets blocks of its own, and these aren't compared with each other.
+    """
+    dealt = block_pairs(groups, settled).join(texts, "node")
 
     def link(key, table):
         node, left = table.column("node").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
@@ -186,26 +227,34 @@ def group_links(stars: DataFrame, settled: DataFrame, texts: DataFrame) -> DataF
     return dealt.groupBy("root", "x", "y").applyInArrow(link, "a long, b long")
 
 
-def near_links(one: DataFrame, texts: DataFrame, few: int = FEW) -> DataFrame:
-    """Links (a, b) whose components are those of all near pairs; ``one``: node, fp; ``texts``: node, text, one row for each set of shingles.
+def shared_firsts(postings: DataFrame) -> DataFrame:
+    """Those of ``postings`` (token, node, size) whose token others have too, with how many, n, and the smallest node, low."""
+    postings = staged(postings, "near-postings")
+    shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    return staged(postings.join(shared, "token"), "near-shared")
 
-    A null text is the one without shingles, near to none but itself. No rows: no rows.
-    """
-    checked = index_links(one, texts)
-    settled = components(checked)
-    common = one.sparkSession.sparkContext.broadcast(common_shingles(texts, one.count()))
 
-    def first(batches):
+def exact_firsts(texts: DataFrame) -> DataFrame:
+    """(token, node, size): the first shingles of each of ``texts`` (node, text), those that the fewest of these texts have first. No texts: no rows."""
+
+    def explode(batches):
         for batch in batches:
             for node, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = shingles(t.as_py())
-                token = prefix(found, *common.value)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array([node] * len(token), pa.int64()), pa.array([len(found)] * len(token), pa.int32())], ["token", "node", "size"])
+                found = shingles(t.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([node] * len(found), pa.int64())], ["token", "node"])
 
-    postings = staged(texts.mapInArrow(first, "token long, node long, size int"), "near-postings")
-    shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    every = staged(texts.select("node", "text").mapInArrow(explode, "token long, node long"), "near-every")
+    counts = every.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = spread_join(every, counts, "token", "n", every.count())
+    # one text's shingles in a row, the hash as in the order of unsigned numbers doesn't matter here
+    sets = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"), F.count("*").cast("int").alias("size"))
+    first = F.slice("all", 1, F.expr(f"cast(size * {WHOLE - SHARE} div {WHOLE} as int)") + 1)
+    return sets.select(F.explode(first).alias("one"), "node", "size").select("one.token", "node", "size")
+
+
+def few_pairs(open_: DataFrame, settled: DataFrame, few: int) -> DataFrame:
+    """Pairs (a, b) across ``settled`` that share a token of at most ``few`` texts in ``open_`` and may be near by their counts."""
     known = settled.select("node", F.col("root").alias("part"))
-    open_ = staged(postings.join(shared, "token"), "near-shared")
     # how many of a text's first shingles are in many texts: as many as a pair may share besides those of few
     held = open_.groupBy("node").agg(F.count_if(F.col("n") > few).alias("many"))
     cold = open_.where(F.col("n") <= few).join(held, "node").join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -216,9 +265,57 @@ def near_links(one: DataFrame, texts: DataFrame, few: int = FEW) -> DataFrame:
     most = F.count("*") + F.min(F.least("a.many", "b.many")) + F.min(F.greatest(rest("a"), rest("b")))
     # the first shingles that both have, and all that may follow in the text whose first shingles end first
     pairs = both.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(most.alias("most"), F.min(F.col("a.size") + F.col("b.size")).alias("sizes"))
-    pairs = pairs.where((WHOLE + SHARE) * F.col("most") >= SHARE * F.col("sizes")).select("a", "b")
-    stars = open_.where(F.col("n") > few).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return checked.unionByName(pair_links(pairs, texts)).unionByName(group_links(stars, settled, texts))
+    return pairs.where((WHOLE + SHARE) * F.col("most") >= SHARE * F.col("sizes")).select("a", "b")
+
+
+def many_stars(open_: DataFrame, few: int) -> DataFrame:
+    """(a, b): texts that share a token of more than ``few`` with the smallest of these texts."""
+    return open_.where(F.col("n") > few).select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
+def narrowed(groups: DataFrame, pairs: DataFrame, checked: DataFrame, settled: DataFrame, texts: DataFrame, few: int, wide: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``groups``, ``pairs``, ``checked`` and ``settled`` of ``near_links``, with groups of over ``wide`` texts searched anew.
+
+    A pair that shares tokens of many texts only is within one group, so the group's own order finds it as well.
+    """
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+    sized = lambda g: spread_join(g, g.groupBy("root").agg(F.count("*").alias("n")), "root", "n", g.count())
+    if not sizes.where(F.col("n") > wide).limit(1).count():
+        return groups, pairs, checked, settled
+    noted = staged(sized(groups), "near-sized")
+    again = shared_firsts(exact_firsts(texts.join(noted.where(F.col("n") > wide).select("node"), "node", "left_semi")))
+    pairs = pairs.unionByName(few_pairs(again, settled, few)).distinct()
+    rest = members(many_stars(again, few))
+    for round_ in range(ROUNDS):
+        large = sized(rest).where(F.col("n") > wide).select("node", "root")
+        found = pivot_links(large, settled, texts, round_)
+        if not found.limit(1).count():
+            break
+        checked = staged(checked.unionByName(found), "near-checked")
+        settled = components(checked)
+    # roots are nodes of their own groups, so these of narrower and searched groups differ
+    return noted.where(F.col("n") <= wide).select("node", "root").unionByName(rest), pairs, checked, settled
+
+
+def near_links(one: DataFrame, texts: DataFrame, few: int = FEW, wide: int = WIDE) -> DataFrame:
+    """Links (a, b) whose components are those of all near pairs; ``one``: node, fp; ``texts``: node, text, one row for each set of shingles.
+
+    A null text is the one without shingles, near to none but itself. No rows: no rows.
+    """
+    checked = index_links(one, texts)
+    settled = components(checked)
+    common = one.sparkSession.sparkContext.broadcast(common_shingles(texts, one.count()))
+
+    def first(batches):
+        for batch in batches:
+            for node, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = shingles(t.as_py())
+                token = prefix(found, *common.value)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array([node] * len(token), pa.int64()), pa.array([len(found)] * len(token), pa.int32())], ["token", "node", "size"])
+
+    open_ = shared_firsts(texts.mapInArrow(first, "token long, node long, size int"))
+    groups, pairs, checked, settled = narrowed(members(many_stars(open_, few)), few_pairs(open_, settled, few), checked, settled, texts, few, wide)
+    return checked.unionByName(pair_links(pairs, texts)).unionByName(group_links(groups, settled, texts))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,10 +63,12 @@ def copies():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("few, sample, block", [(32, 20_000, 256), (3, 40, 8), (1, 1, 16)])
-def test_groups_are_those_of_all_pairs(spark, monkeypatch, few, sample, block):
+@pytest.mark.parametrize("few, sample, block, wide", [(32, 20_000, 256, 16_384), (3, 40, 8, 16_384), (1, 1, 16, 16_384), (1, 1, 4, 20), (3, 40, 8, 2)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, few, sample, block, wide):
     monkeypatch.setattr(near_copies, "BLOCK", block)
-    monkeypatch.setattr(near_copies.near_links, "__defaults__", (few,))
+    if wide < 1000:
+        monkeypatch.setattr(near_copies, "LARGE_BLOCK", block)
+    monkeypatch.setattr(near_copies.near_links, "__defaults__", (few, wide))
     monkeypatch.setattr(near_copies.common_shingles, "__defaults__", (sample,))
     rows = copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -103,3 +105,39 @@ def test_blocks_give_the_components_of_their_pairs():
     got = near_copies.Forest(40)
     got.join(*near_copies.block_links(sets[:20], sets[20:]))
     assert (got.settle() == want.settle()).all() and len(set(want.settle())) < 40
+
+
+def passage_and_families(n_passage, n_family, rng):
+    """Texts with one common passage and two families of near copies; of neighbours in a family most are near, not all."""
+    passage = [f"p{k}" for k in range(40)]
+    texts = [" ".join([f"w{rng.randrange(10**9)}" for _ in range(40)] + passage) for _ in range(n_passage)]
+    for f in range(2):
+        base = [f"f{f}x{k}" for k in range(90)] + passage[:20]
+        texts += [edited(rng, base, rng.randrange(1, 4)) for _ in range(n_family)]
+    return texts
+
+
+def test_wide_groups_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """A passage in most texts and families of copies: in blocks of 16, texts are sent less than 10 times each; what stays is that of all pairs."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    monkeypatch.setattr(near_copies, "LARGE_BLOCK", 16)
+    monkeypatch.setattr(near_copies.near_links, "__defaults__", (4, 128))
+    monkeypatch.setattr(near_copies.common_shingles, "__defaults__", (1,))  # nothing is known as common
+    rng, sent, pivots = random.Random(5), [], []
+    rows = list(enumerate(passage_and_families(500, 120, rng)))
+    pairs_of, links_of = near_copies.block_pairs, near_copies.pivot_links
+
+    def counted(groups, settled):
+        sent.append(pairs_of(groups, settled).count())
+        return pairs_of(groups, settled)
+
+    def noted(*args):
+        pivots.append(links_of(*args).count())
+        return links_of(*args)
+
+    monkeypatch.setattr(near_copies, "block_pairs", counted)
+    monkeypatch.setattr(near_copies, "pivot_links", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_copies.drop_near_copies(docs).collect()
+    assert {r.doc_id for r in got} == brute_kept(rows)
+    assert pivots and sum(sent) < 10 * len(rows)

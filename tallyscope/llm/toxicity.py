@@ -5,9 +5,10 @@ documents, differ in their high orders only; both back off to one shared
 Kneser-Ney model, whose counts pool both classes. A rare expression that
 neither class knows thus gets the same likelihood from both, and only
 what a class has seen moves the ratio. Toxic and ordinary log-likelihoods are compared
-per letter, over the whole document and over its most toxic expression (a few words
-in a row, so that length doesn't dilute it), on a logistic scale fitted on
-labelled documents that the models did not see.
+per letter, in every expression of a whole document (a few words
+in a row, so that length doesn't dilute it); the most toxic one decides, on a logistic scale fitted on
+labelled documents that the models did not see. Orders, discount and length of an expression were chosen by
+cross-validation within the labels learnt from.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .held import held
 FOLDS, HELD_OUT = 3, 1
 #: About as many labelled documents of each class are fitted, a quarter of them for the scale.
 PER_CLASS = 3000
-ORDER, SHARED = 6, 3
-DISCOUNT = 0.75
+ORDER, SHARED = 5, 4
+DISCOUNT = 0.9
 #: Likelihood of a letter that no count covers.
 FLOOR = 1e-4
 THRESHOLD = 0.7
@@ -156,22 +157,19 @@ class Scorer:
             self.words[w] = found
         return found
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Ratio per letter (and word's end) of the text and of its strongest expression; zeros without words."""
+    def evidence(self, text: str | None) -> float:
+        """Ratio per letter (and word's end) of the text's strongest expression, of all of a shorter text; zero without words."""
         words, known = letter_words(text), self.words
         if not words:
-            return 0.0, 0.0
+            return 0.0
         ratios = np.array([known[w] if w in known else self.word(w) for w in words])
         sizes = np.array([len(w) + 1 for w in words])
-        whole = ratios.sum() / sizes.sum()
-        if len(words) <= EXPRESSION:
-            return float(whole), float(whole)
-        window = np.ones(EXPRESSION)
-        return float(whole), float((np.convolve(ratios, window, "valid") / np.convolve(sizes, window, "valid")).max())
+        window = np.ones(min(EXPRESSION, len(words)))
+        return float((np.convolve(ratios, window, "valid") / np.convolve(sizes, window, "valid")).max())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, pull: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of scaled features and a constant, by Newton's method with a small ridge; both classes weigh alike."""
+    """Weights of the columns of ``x`` and a constant, by Newton's method with a small ridge; both classes weigh alike."""
     x = np.column_stack([x, np.ones(len(x))])
     w, weight = np.zeros(x.shape[1]), np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(rounds):
@@ -182,17 +180,13 @@ def logistic(x: np.ndarray, y: np.ndarray, pull: float = 1e-3, rounds: int = 50)
     return w
 
 
-#: The scale of the text's and the expression's ratio before the logistic.
-SCALE = np.array([10.0, 1.0])
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS):
     """(toxic counts, ordinary counts, weights), from about ``per_class`` documents of each class; None if a class is missing.
 
     The ids come from the labels by a hash against the class's count, so there are about
     2 * ``per_class`` of them, and they are broadcast: no text is shuffled. A word counts once
     for each document that has it, so that one document's favourites don't pass for its class's. The
-    driver gets counts of letter n-grams of the documents chosen, and two features of each
+    driver gets counts of letter n-grams of the documents chosen, and the evidence of each
     document of the scale's quarter. Labels that are neither 0 nor 1, or of a null id, teach nothing; of an id's labels the
     larger holds; null and empty texts have no grams. Without labels: None.
     """
@@ -237,13 +231,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         own = None
         for batch in batches:
             own = own or Scorer(*shared.value)
-            found = np.array([own.features(t.as_py()) for t in batch.column(0)]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(2)), batch.column(1)], ["a", "b", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([own.evidence(t.as_py()) for t in batch.column(0)], pa.float64()), batch.column(1)], ["x", "y"])
 
-    table = texts.where("scale").select("text", "y").mapInArrow(measure, "a double, b double, y int").toPandas()
+    table = texts.where("scale").select("text", "y").mapInArrow(measure, "x double, y int").toPandas()
     if table.y.nunique() < 2:
         return None
-    weights = logistic(table[["a", "b"]].to_numpy() * SCALE, table.y.to_numpy())
+    weights = logistic(table[["x"]].to_numpy(), table.y.to_numpy())
     return shared, weights
 
 
@@ -259,8 +252,8 @@ def score_udf(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             if own is None:
                 yield pa.array(np.zeros(len(column)))
                 continue
-            found = np.array([own.features(t.as_py()) for t in column]).reshape(-1, 2) * SCALE
-            yield pa.array(1 / (1 + np.exp(-np.clip(found @ weights[:-1] + weights[-1], -30, 30))))
+            found = np.array([own.evidence(t.as_py()) for t in column], np.float64)
+            yield pa.array(1 / (1 + np.exp(-np.clip(found * weights[0] + weights[1], -30, 30))))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return arrow_udf(run, "double").asNondeterministic()  # so that it's never run twice for a row

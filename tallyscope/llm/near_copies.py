@@ -161,9 +161,9 @@ def members(stars: DataFrame) -> DataFrame:
 
 
 def pivot_links(groups: DataFrame, settled: DataFrame, texts: DataFrame, round_: int = 0) -> DataFrame:
-    """Near pairs (a, b) of each text of ``groups`` (node, root) with one of about ``PIVOTS`` texts of its group, those of the largest settled part left out once it fills a block.
+    """Links (a, b), forests of the near pairs of the texts of ``groups`` (node, root) with about ``PIVOTS`` texts of their group that are in no settled part that fills a block.
 
-    Only a help: what this links needs no further look, what it doesn't link is compared later. A text is sent once, a pivot to each block of its group.
+    Groups with at most a block of such texts give none; no groups: no rows. A null text has no shingles. Only a help: what this links needs no further look, what it doesn't link is compared later. A text is sent once, a pivot to each block of its group.
     """
     parts = groups.join(settled.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
     sizes = parts.groupBy("root", "part").agg(F.count("*").alias("n"))

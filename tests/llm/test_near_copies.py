@@ -141,3 +141,23 @@ def test_wide_groups_are_sent_a_bounded_number_of_times(spark, monkeypatch):
     got = near_copies.drop_near_copies(docs).collect()
     assert {r.doc_id for r in got} == brute_kept(rows)
     assert pivots and sum(sent) < 10 * len(rows)
+
+
+def test_pivots_link_within_groups(spark, monkeypatch):
+    """In a group of one family a few texts link most; every link is within a group of all pairs, and without groups there are no rows."""
+    monkeypatch.setattr(near_copies, "LARGE_BLOCK", 16)
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(k, edited(rng, base, rng.randrange(1, 4)), 0) for k in range(150)] + [(150, None, 0), (151, "alone", 0)]
+    groups = spark.createDataFrame(rows, "node long, text string, root long")
+    none = spark.createDataFrame([], "node long, root long")
+    got = near_copies.pivot_links(groups.select("node", "root"), none, groups.select("node", "text")).collect()
+    sets = [brute_set(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    assert all(root[r.a] == root[r.b] for r in got)  # a forest: its ends are in one group, not always near themselves
+    assert len({n for r in got for n in r}) > 100 and not {150, 151} & {n for r in got for n in r}
+    assert near_copies.pivot_links(none, none, groups.select("node", "text")).count() == 0

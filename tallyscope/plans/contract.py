@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -241,18 +240,16 @@ def _grown(spark: SparkSession, rows: DataFrame, label: str, root: str | None =
         raise RuntimeError("files are scanned where all machines mount them; set spark.checkpoint.dir to such a folder")
     root = "/" + root.lstrip("/")
 
-    def write(batches):
-        for batch in batches:
-            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if text is None:
-                    os.remove(f"{root}/{path}")
-                    continue
-                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
-                with open(f"{root}/{path}", "wb") as f:
-                    f.write(text.encode())
-            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
-
-    rows.select("path", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    def write(given):
+        for path, text in given:
+            if text is None:
+                os.remove(f"{root}/{path}")
+                continue
+            os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+            with open(f"{root}/{path}", "wb") as f:
+                f.write(text.encode())
+
+    rows.select("path", "text").foreachPartition(write)  # rows come a few MB at a time, Arrow's batches have up to 64 MB
     return root
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import replace
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,13 +15,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 from ..shipping import ship
 from ..staging import new_path
 from .globs import IgnoreStack
-from .listing import Entry, ListOptions, list_target, walk
+from .listing import Ahead, Entry, ListOptions, list_target, visit, walk
 
 LISTING = "path string, ext string, bytes long, status string"
 #: A listing in progress: a folder that no round has opened yet has the status ``folder``, where its ignore files are, and the real paths above it.
 FRONTIER = f"{LISTING}, stamp long, ignores array<string>, way array<string>"
 #: Folders that a round opens for each folder it is given; the first rounds are short, to spread what they find.
 FIRST_FOLDERS, ROUND_FOLDERS = 16, 2000
+#: Rows that a task of a listing holds before it hands them on, however many its folders have.
+ROWS_AT_ONCE = 10_000
 #: About as many bytes of files are read by one task.
 BYTES_PER_TASK = 64 << 20
 #: Larger files are read by ranges of this size, each by a task of its own.
@@ -134,12 +137,10 @@ def list_files(spark: SparkSession, targets: list[str], options: ListOptions, pa
         def run(batches):
             for batch in batches:
                 for r in batch.to_pylist():
-                    ahead: list[tuple] = []
-                    stack = IgnoreStack.of_folders(r["ignores"])
-                    out = [(e.path, e.ext, e.bytes, e.status, e.stamp, None, None) for e in walk(r["path"], options, stack, lambda *f: ahead.append(_folder(*f)), frozenset(r["way"]), budget)]
-                    out += ahead
-                    for at in range(0, len(out), 10_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 10_000]), kinds)], names)
+                    found = visit(r["path"], options, IgnoreStack.of_folders(r["ignores"]), frozenset(r["way"]), budget)
+                    rows = (_folder(*e) if isinstance(e, Ahead) else (e.path, e.ext, e.bytes, e.status, e.stamp, None, None) for e in found)
+                    while out := list(islice(rows, ROWS_AT_ONCE)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
         return run
 

@@ -13,6 +13,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from .globs import GlobError, IgnoreStack, glob_regex, is_path_ignored
 
@@ -55,6 +56,14 @@ class Entry:
     stamp: int = 0
 
 
+class Ahead(NamedTuple):
+    """A folder that a walk came to and left for others to open."""
+
+    path: str
+    stack: IgnoreStack
+    way: frozenset[str]
+
+
 def extension(path: str) -> str | None:
     """After the last dot of the name; none for names whose only dot is the first character."""
     name = os.path.basename(path)
@@ -112,29 +121,32 @@ def resolve_targets(entries: list[str], gitignore: bool = True, dotted: bool = F
 
 
 def walk(folder: str, options: ListOptions, stack: IgnoreStack, on_folder=None, way: frozenset[str] = frozenset(), budget: int = 1) -> Iterator[Entry]:
-    """Files below ``folder``, level by level; ``way`` has the real paths of the folders above.
+    """Files below ``folder``, as ``visit`` comes to them; ``on_folder(path, stack, way)``, if given, takes over the folders beyond the first ``budget``."""
+    for found in visit(folder, options, stack, way, None if on_folder is None else budget):
+        if isinstance(found, Ahead):
+            on_folder(*found)
+        else:
+            yield found
+
+
+def visit(folder: str, options: ListOptions, stack: IgnoreStack, way: frozenset[str] = frozenset(), budget: int | None = None) -> Iterator[Entry | Ahead]:
+    """Files below ``folder``, level by level, and the folders beyond the first ``budget`` (None: all are opened); ``way`` has the real paths of the folders above.
 
-    With ``on_folder(path, stack, way)``, that takes over the folders beyond the first ``budget``. Hidden folders are left out unless asked
-    for, hidden files are not. Links to folders are followed, but not back into a folder on the way down; links to files and other
-    special files are passed over. A folder that can't be read counts as empty.
+    Hidden folders are left out unless asked for, hidden files are not. Links to folders are followed, but not back into a folder on the
+    way down; links to files and other special files are passed over. Entries come in the order that the file system gives, one at a
+    time: however many a folder has, what is held are the folders still to open, ``budget`` at most.
     """
     excluded = re.compile(options.exclude, re.S) if options.exclude else None
     todo = deque([(folder, stack, way)])
     while todo:
         at, stack, way = todo.popleft()
-        if on_folder is not None and budget <= 0:
-            on_folder(at, stack, way)
-            continue
         real = os.path.realpath(at)
         if real in way or not options.may_hold(at):
             continue
-        budget -= 1
-        own = stack.inside(at) if options.gitignore else stack
-        try:
-            entries = sorted(os.scandir(at), key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in entries:
+        if budget is not None:
+            budget -= 1
+        own, below = stack.inside(at) if options.gitignore else stack, way | {real}
+        for e in _entries(at):
             path = f"{at.rstrip('/')}/{e.name}"
             if e.is_file(follow_symlinks=False):
                 found = _entry(path, e, options, excluded, own)
@@ -142,7 +154,19 @@ def walk(folder: str, options: ListOptions, stack: IgnoreStack, on_folder=None,
                     yield found
             elif (options.dotted or not e.name.startswith(".")) and options.may_hold(path) and not (excluded and excluded.match(path)) and not own.ignores(path, True):
                 if os.path.isdir(path):
-                    todo.append((path, own, way | {real}))
+                    if budget is None or len(todo) < budget:
+                        todo.append((path, own, below))
+                    else:
+                        yield Ahead(path, own, below)
+
+
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    """One that can't be opened counts as empty; where reading breaks off, what was read counts."""
+    try:
+        with os.scandir(folder) as found:
+            yield from found
+    except OSError:
+        return
 
 
 def _relevant(path: str, ext: str, found: os.stat_result) -> Entry:

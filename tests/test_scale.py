@@ -156,6 +156,46 @@ def test_listing_by_rounds(spark, tmp_path, options):
         assert spread.select(F.input_file_name()).distinct().count() > 8
 
 
+def test_a_wide_folder_is_never_held(spark, tmp_path, monkeypatch):
+    """Entries and folders left to others come one by one, whatever a folder's width; the same rows as before."""
+    wide, taken = tmp_path / "wide", []
+    for k in range(300):
+        (wide / f"d{k}").mkdir(parents=True)
+        (wide / f"f{k}.py").write_text("x" * (k % 7))
+
+    class Counted:
+        def __init__(self, path):
+            self.found = scandir(path)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.found.close()
+
+        def __iter__(self):
+            return self
+
+        def __next__(self):
+            e = next(self.found)
+            taken.append(e.name)
+            return e
+
+    given, scandir = ListOptions(frozenset({"py"})), os.scandir
+    monkeypatch.setattr(listing.os, "scandir", Counted)
+    walked, seen = listing.visit(str(wide), given, IgnoreStack(), budget=3), []
+    for n in range(1, 401):
+        seen.append(next(walked))
+        assert len(taken) <= n + 2  # what it came to is handed on, but for the folders that it opens itself
+    seen += walked
+    monkeypatch.undo()
+    ahead = {x.path for x in seen if isinstance(x, listing.Ahead)}
+    files = sorted((x.path, x.bytes) for x in seen if not isinstance(x, listing.Ahead))
+    assert len(ahead) == 298 and files == sorted((f"{wide}/f{k}.py", k % 7) for k in range(300))
+    got, counts = list_files(spark, [str(tmp_path)], given, str(tmp_path.parent / "wide-out"), 5, 1, 3)
+    assert sorted((r.path, r.bytes) for r in got.collect()) == files and counts["total"] == 300
+
+
 def test_stack_from_its_folders(tmp_path):
     deep_tree(tmp_path)
     stack = IgnoreStack.for_target(str(tmp_path / "repo" / "a3" / "b1"))

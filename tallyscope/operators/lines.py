@@ -1,7 +1,7 @@
 """Line classification and keyword counts over files held in a DataFrame.
 
 ``file_stats`` runs the lexer once per file: one narrow map, right for trees of
-many files. ``range_stats`` lets many tasks share one huge file: each walks a
+many files; ``path_stats`` does so for files still to be read. ``range_stats`` lets many tasks share one huge file: each walks a
 range from every state it may begin in, and ranges compose. ``line_states`` asks the same of
 lines held as rows: what a line does to the state is a byte, and the state before each line a prefix scan over bytes.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import lexer
 from ..languages import Language
 from ..shipping import ship
-from ..sources.code_files import decode, read_range
+from ..sources.code_files import dealt_files, decode, read_range, read_text
 from ..staging import staged
 
 STATS = "lines long, code_lines long, counts array<long>"
@@ -80,6 +80,30 @@ def file_stats(files: DataFrame, languages: dict[str, Language], braces_as_code:
     return kept.mapInArrow(run, schema)
 
 
+def path_stats(files: DataFrame, languages: dict[str, Language], braces_as_code: bool = False, keywords: bool = True, total_bytes: int | None = None) -> DataFrame:
+    """(path, language, bytes, error, lines, code_lines, counts) of listed files (path, language, bytes): ``file_stats`` of their contents.
+
+    A task reads a file, counts it and lets go of it before the next, so it holds one text and no batch of texts. A file
+    that can't be read or isn't UTF-8 has an error and null counts.
+    """
+    ship(files.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for path, name in zip(batch.column("path").to_pylist(), batch.column("language").to_pylist()):
+                text, error = read_text(path)
+                language = languages.get(name)
+                facts = (None, None, None) if language is None or text is None else lexer.file_facts(text, language, braces_as_code, keywords)
+                found.append((error, *facts))
+            errors, lines, code, counts = zip(*found) if found else ((), (), (), ())
+            made = [pa.array(errors, pa.string()), pa.array(lines, pa.int64()), pa.array(code, pa.int64()), pa.array(counts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "language", "bytes")), *made], names)
+
+    names = ["path", "language", "bytes", "error", "lines", "code_lines", "counts"]
+    return dealt_files(files, total_bytes).mapInArrow(run, f"path string, language string, bytes long, error string, {STATS}")
+
+
 def range_stats(ranges: DataFrame, languages: dict[str, Language], braces_as_code: bool = False, keywords: bool = True) -> DataFrame:
     """(path, language, bytes, error, lines, code_lines, counts) of files cut in ``file_ranges``: the rows of ``file_stats``, made by many tasks a file.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Options
 from ..languages import Language, extension_owners, language_frame, select_languages
 from ..operators import history, lines, stats
-from ..sources.code_files import BYTES_PER_TASK, RANGE_BYTES, file_ranges, list_files, read_contents
+from ..sources.code_files import BYTES_PER_TASK, RANGE_BYTES, file_ranges, list_files
 from ..sources.globs import exclude_regex
 from ..sources.listing import ListOptions
 from ..staging import new_path
@@ -76,8 +76,7 @@ def count_files(files: DataFrame, sizes: dict[str, int], languages: dict[str, La
     are read whole, many to a task.
     """
     braces, keywords = bool(options.braces_as_code), not options.no_keywords
-    contents = read_contents(files.where(F.col("bytes") <= range_bytes), sizes["bytes"] - sizes["large_bytes"])
-    counted = lines.file_stats(contents, languages, braces, keywords, ["path", "language", "bytes", "error"])
+    counted = lines.path_stats(files.where(F.col("bytes") <= range_bytes), languages, braces, keywords, sizes["bytes"] - sizes["large_bytes"])
     if sizes["large"]:
         tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-sizes["large_bytes"] // BYTES_PER_TASK))
         ranges = file_ranges(files.where(F.col("bytes") > range_bytes), range_bytes).repartition(tasks, "path", "start")

@@ -166,31 +166,39 @@ def list_files(spark: SparkSession, targets: list[str], options: ListOptions, pa
     return listing.select("path", "ext", "bytes", "status", *(["stamp"] if stamps else [])), counts
 
 
+def read_text(path: str) -> tuple[str | None, str | None]:
+    """(text, error) of a whole file: one that can't be read or isn't UTF-8 has an error and no text."""
+    try:
+        with open(path, "rb") as f:
+            return f.read().decode("utf-8"), None
+    except (OSError, UnicodeDecodeError) as e:
+        return None, str(e)
+
+
+def dealt_files(files: DataFrame, total_bytes: int | None = None) -> DataFrame:
+    """(path, language, bytes) of listed files, dealt by a hash of their path to tasks of about BYTES_PER_TASK."""
+    if total_bytes is None:
+        total_bytes = files.agg(F.sum("bytes")).first()[0] or 0
+    n = max(files.sparkSession.sparkContext.defaultParallelism, -(-total_bytes // BYTES_PER_TASK))
+    return files.select("path", "language", "bytes").repartition(n, "path")
+
+
 def _read(batches):
     for batch in batches:
         paths, languages, sizes = (batch.column(k).to_pylist() for k in ("path", "language", "bytes"))
         for path, language, size in zip(paths, languages, sizes):
-            text = error = None
-            try:
-                with open(path, "rb") as f:
-                    text = f.read().decode("utf-8")
-            except (OSError, UnicodeDecodeError) as e:
-                error = str(e)
+            text, error = read_text(path)
             yield pa.RecordBatch.from_pydict({"path": [path], "language": [language], "bytes": pa.array([size], pa.int64()), "text": pa.array([text], pa.string()), "error": pa.array([error], pa.string())})
 
 
 def read_contents(files: DataFrame, total_bytes: int | None = None) -> DataFrame:
     """(path, language, bytes, text, error) of listed files (path, language, bytes).
 
-    Files are dealt by a hash of their path to tasks of about BYTES_PER_TASK; a file that can't be read or isn't
-    UTF-8 has an error and no text. Spark's own file sources are not used here: they hide
-    names with a leading underscore or dot, which count.
+    Files are dealt as in ``dealt_files``; a file that can't be read or isn't UTF-8 has an error and no text. Spark's own
+    file sources are not used here: they hide names with a leading underscore or dot, which count.
     """
     ship(files.sparkSession)
-    if total_bytes is None:
-        total_bytes = files.agg(F.sum("bytes")).first()[0] or 0
-    n = max(files.sparkSession.sparkContext.defaultParallelism, -(-total_bytes // BYTES_PER_TASK))
-    return files.select("path", "language", "bytes").repartition(n, "path").mapInArrow(_read, "path string, language string, bytes long, text string, error string")
+    return dealt_files(files, total_bytes).mapInArrow(_read, "path string, language string, bytes long, text string, error string")
 
 
 def file_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:

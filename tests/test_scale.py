@@ -17,7 +17,7 @@ from tallyscope.languages import built_in
 from tallyscope.operators import history, lines
 from tallyscope.plans import scan
 from tallyscope.sources import listing
-from tallyscope.sources.code_files import PushdownReader, code_files, decode, list_files, read_range
+from tallyscope.sources.code_files import PushdownReader, code_files, decode, list_files, read_contents, read_range
 from tallyscope.sources.globs import IgnoreFile, IgnoreStack, Segments
 from tallyscope.sources.listing import ListOptions, list_target
 
@@ -78,6 +78,21 @@ def test_huge_files_are_counted_as_whole_ones(spark, tmp_path):
     assert "2 could not be read" in text
 
 
+def test_a_task_holds_one_text_at_a_time(spark, tmp_path):
+    """Files read and counted within a task: the rows of contents counted as a table, without texts on their way between processes."""
+    rng, rows = random.Random(8), [("/nowhere/a.py", "Python", 3), (str(tmp_path), "Java", 0)]
+    for k, name in enumerate(["Java", "Python", "Nope"] * 13):
+        path = tmp_path / f"f{k}"
+        path.write_bytes(b"\xff" if k % 13 == 5 else random_text(rng, rng.choice([0, 30, 400])).encode())
+        rows.append((str(path), name, path.stat().st_size))
+    files = spark.createDataFrame(rows, "path string, language string, bytes long").repartition(3)
+    want = lines.file_stats(read_contents(files), LANGUAGES, keep=["path", "language", "bytes", "error"])
+    counted = scan.count_files(files, {"bytes": 1, "large": 0, "large_bytes": 0}, LANGUAGES, DEFAULTS)
+    assert counted.columns == want.columns and sorted(map(repr, counted.collect())) == sorted(map(repr, want.collect()))
+    assert lines.path_stats(files.limit(0), LANGUAGES).count() == 0
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_many_tasks_read_one_file(spark, tmp_path):
     path = tmp_path / "one.java"
     path.write_text("/* x\n" + "int a = 1; // class\nclass B {\n}\n" * 40_000 + "*/ class C\n")
